@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.text import rx, strip
+from ledgerlake.functions.text import bind, rx, strip
 
 # Patterns for figures.
 NUMBER = r"\$?-?\d+(?:,\d{3})*(?:\.\d+)?%?"
@@ -73,12 +73,19 @@ def printed_forms(value: Column) -> Column:
 
 def quote_line(page_text: Column, value: Column) -> Column:
     """The page's own line that shows a figure: a labelled row if there is one, else a bare cell, else null."""
-    forms = printed_forms(value)
-    lines = F.transform(F.split(page_text, "\n"), strip)
-    usable = F.filter(lines, lambda s: (F.length(s) > 0) & (F.length(s) <= 400))
-    hits = F.filter(usable, lambda s: F.exists(forms, lambda f: F.contains(s, f)))
-    labelled = F.filter(hits, lambda s: F.length(F.regexp_replace(s, r"\P{L}", "")) >= 4)
-    return F.coalesce(F.get(labelled, F.lit(0)), F.get(hits, F.lit(0)))
+
+    def pick(forms: Column) -> Column:
+        lines = F.transform(F.split(page_text, "\n"), strip)
+        usable = F.filter(lines, lambda s: (F.length(s) > 0) & (F.length(s) <= 400))
+        return F.filter(usable, lambda s: F.exists(forms, lambda f: F.contains(s, f)))
+
+    hits = bind(printed_forms(value), pick)
+
+    def best(found: Column) -> Column:
+        labelled = F.filter(found, lambda s: F.length(F.regexp_replace(s, r"\P{L}", "")) >= 4)
+        return F.coalesce(F.get(labelled, F.lit(0)), F.get(found, F.lit(0)))
+
+    return bind(hits, best)
 
 
 def display(value: Column, unit: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,6 +19,11 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, rx(r"^\s+|\s+$"), "")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squash(col: Column) -> Column:
     return F.regexp_replace(col, rx(r"\s+"), " ")
 
@@ -48,6 +55,10 @@ def first_of(arr: Column) -> Column:
     return F.get(arr, F.lit(0))
 
 
+def constant(value: object, schema: str) -> Column:
+    """A constant list or map as one node of the plan, folded once; nested literals would bloat every plan using it."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
 def string_map(mapping: dict[str, str]) -> Column:
-    items = [F.lit(x) for pair in mapping.items() for x in pair]
-    return F.create_map(*items)
+    return constant(mapping, "map<string,string>")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlake import settings
 from ledgerlake.functions.figures import cell_values
 from ledgerlake.functions.ontology import CONCEPTS
-from ledgerlake.functions.text import any_of, matched_keys, rx, string_map, strip
+from ledgerlake.functions.text import any_of, constant, rx, string_map, strip
 
 # The phrases a statement page consists of, for reading facts.
 FACT_ITEMS = {
@@ -73,7 +73,7 @@ def statement_pages(pages: DataFrame) -> DataFrame:
 
 def unit_scale(text: Column) -> Column:
     unit = F.lower(F.regexp_extract(F.substring(text, 1, 2000), UNIT, 1))
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in UNIT_SCALE.items() for x in p]), unit), F.lit(1.0))
+    return F.coalesce(F.try_element_at(constant(UNIT_SCALE, "map<string,double>"), unit), F.lit(1.0))
 
 
 def column_years(text: Column) -> Column:
@@ -98,8 +98,8 @@ def statement_facts(pages: DataFrame) -> DataFrame:
         unit_scale(F.col("page_text")).alias("scale"), F.posexplode(F.split("page_text", "\n")).alias("line_no", "line"),
     )
     row = lines.withColumn("line", strip(F.col("line"))).where("line <> ''")
-    label = F.lower(F.substring_index("line", "|", 1))
-    named = row.withColumn("concept_key", _row_concept(F.col("statement"), label)).where("concept_key IS NOT NULL")
+    labelled = row.withColumn("label", F.lower(F.substring_index("line", "|", 1)))
+    named = labelled.withColumn("concept_key", _row_concept(F.col("statement"), F.col("label"))).where("concept_key IS NOT NULL")
     kept = F.slice(F.col("figures"), 1, F.greatest(F.size("years"), F.lit(1)))
     instant = string_map({k: str(v[0] == "balance_sheet").lower() for k, v in CONCEPTS.items()})
     return (

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.ontology import CONCEPTS, TAG_TO_CONCEPT
-from ledgerlake.functions.text import rx, string_map, strip
+from ledgerlake.functions.ontology import TAG_TO_CONCEPT
+from ledgerlake.functions.text import bind, rx, string_map, strip
 from ledgerlake.sources.html import body_of, explicit_pages
 
 # Tag patterns.
@@ -59,8 +59,19 @@ def contexts_of(body: Column) -> Column:
         blocks = F.regexp_extract_all(body, F.lit(pattern), 0)
         return F.filter(F.transform(blocks, _context_struct), lambda c: c["usable"] & (c["period_end"] != ""))
 
-    prefixed = parse(CONTEXT)
-    return F.when(F.size(prefixed) > 0, prefixed).otherwise(parse(CONTEXT_BARE))
+    return bind(parse(CONTEXT), lambda found: F.when(F.size(found) > 0, found).otherwise(parse(CONTEXT_BARE)))
+
+
+def context_map(found: Column) -> Column:
+    """Contexts by id; where an id is declared twice the later one counts."""
+
+    def by_id(cs: Column) -> Column:
+        ids = F.transform(cs, lambda c: c["context_id"])
+        last = F.filter(cs, lambda c, i: F.array_position(F.reverse(ids), c["context_id"]) == F.size(ids) - i)
+        unique = F.when(F.size(F.array_distinct(ids)) < F.size(ids), last).otherwise(cs)
+        return F.map_from_entries(F.transform(unique, lambda c: F.struct(c["context_id"], c)))
+
+    return bind(found, by_id)
 
 
 def contexts(filings: DataFrame, html_col: str = "html") -> DataFrame:
@@ -70,8 +81,8 @@ def contexts(filings: DataFrame, html_col: str = "html") -> DataFrame:
 def tagged_facts(filings: DataFrame, html_col: str = "html") -> DataFrame:
     """xbrl_facts: every readable numeric tag with a known context, placed on its page.
 
-    Tags and contexts of a filing sit in the same row, so the lookup is a search in that row's own context
-    list and the filing text is read once. Pages count explicit breaks only.
+    Tags and contexts of a filing sit in the same row, so the lookup is a map access in that row and the
+    filing text is read once. Pages count explicit breaks only.
     """
     parts = F.transform(
         explicit_pages(F.col("body")),
@@ -83,15 +94,14 @@ def tagged_facts(filings: DataFrame, html_col: str = "html") -> DataFrame:
     rows = (
         filings.select("filing_id", body_of(F.col(html_col)).alias("body"))
         .where(has_tags(F.col("body")))
-        .select("filing_id", contexts_of(F.col("body")).alias("contexts"), F.flatten(parts).alias("tags"))
+        .select("filing_id", context_map(contexts_of(F.col("body"))).alias("contexts"), F.flatten(parts).alias("tags"))
         .select("filing_id", "contexts", F.inline("tags"))
     )
-    found = F.filter("contexts", lambda c: c["context_id"] == F.col("ref"))
     text = F.regexp_extract("tag", r"(?s)>([^<]*)<", 1)
     return (
         rows.withColumn("ref", attribute(F.col("tag"), "contextref"))
         .withColumn("concept", attribute(F.col("tag"), "name"))
-        .withColumn("context", F.try_element_at(found, F.lit(-1)))
+        .withColumn("context", F.try_element_at(F.col("contexts"), F.col("ref")))
         .withColumn("value", fact_value(text, attribute(F.col("tag"), "scale"), attribute(F.col("tag"), "sign")))
         .where("concept <> '' AND context IS NOT NULL AND value IS NOT NULL")
         .select("filing_id", "concept", "value", "context.period_end", "context.period_start", "page",

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Nothing here depends on the size of the data: AQE sizes shuffles and splits skewed joins at run time.
 DEFAULTS = {
@@ -42,3 +42,11 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def stored(rows: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a table written to the shared folder: lineage and plan end here, and a lost executor costs nothing."""
+    spark = rows.sparkSession
+    path = scratch_dir(spark, purpose)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

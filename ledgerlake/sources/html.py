@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake import settings
-from ledgerlake.functions.text import rx, strip
+from ledgerlake.functions.text import bind, rx, string_map, strip
 
 # Markup patterns.
 PAGE_BREAK = r"(?i)<[^>]*page-break-(?:after|before)\s*:\s*always[^>]*>"
@@ -78,8 +78,9 @@ def explicit_pages(body: Column) -> Column:
 
 def split_pages(body: Column) -> Column:
     """Fragments at page-break styles, or at rules where there is no break; blank pages stay."""
-    parts = explicit_pages(body)
-    return F.when(F.size(parts) == 1, F.split(body, RULE, -1)).otherwise(parts)
+    return bind(
+        explicit_pages(body), lambda parts: F.when(F.size(parts) == 1, F.split(F.get(parts, F.lit(0)), RULE, -1)).otherwise(parts)
+    )
 
 
 def fragments(filings: DataFrame, html_col: str = "html") -> DataFrame:
@@ -96,7 +97,7 @@ def _fold(text: Column, found: Column, step) -> Column:
 def unescape(text: Column) -> Column:
     """Character references to characters, each once; '&' itself comes last."""
     names = {name: chr(code) for name, code in html.entities.name2codepoint.items() if name != "amp"}
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    table = string_map(names)
 
     def decimal(acc: Column, ref: Column) -> Column:
         code = F.regexp_extract(ref, r"(\d+)", 1).try_cast("int")
@@ -114,11 +115,13 @@ def unescape(text: Column) -> Column:
         char = F.try_element_at(table, F.substring_index(F.substring(ref, 2, 40), ";", 1))
         return F.when(char.isNotNull(), F.replace(acc, ref, char)).otherwise(acc)
 
-    out = _fold(text, F.regexp_extract_all(text, F.lit("(&#[0-9]{1,7};)"), 1), decimal)
-    out = _fold(out, F.regexp_extract_all(text, F.lit("(&#[xX][0-9a-fA-F]{1,6};)"), 1), hexadecimal)
-    out = _fold(out, F.regexp_extract_all(text, F.lit("(&[a-zA-Z][a-zA-Z0-9]*;)"), 1), named)
-    out = F.regexp_replace(out, "&(?:amp|#38|#[xX]26);", "&")
-    return F.when(text.contains("&"), out).otherwise(text)
+    def replaced(t: Column) -> Column:
+        out = _fold(t, F.regexp_extract_all(t, F.lit("(&#[0-9]{1,7};)"), 1), decimal)
+        out = _fold(out, F.regexp_extract_all(t, F.lit("(&#[xX][0-9a-fA-F]{1,6};)"), 1), hexadecimal)
+        out = _fold(out, F.regexp_extract_all(t, F.lit("(&[a-zA-Z][a-zA-Z0-9]*;)"), 1), named)
+        return F.when(t.contains("&"), F.regexp_replace(out, "&(?:amp|#38|#[xX]26);", "&")).otherwise(t)
+
+    return bind(text, replaced)
 
 
 def _visible(fragment: Column) -> Column:
@@ -150,14 +153,16 @@ def tables_text(fragment: Column) -> Column:
 
 def page_text(fragment: Column) -> Column:
     """Readable text of one fragment; tables follow the prose, each behind a marker."""
-    seen = _visible(fragment)
+    return bind(_visible(fragment), _text_of_visible)
+
+
+def _text_of_visible(seen: Column) -> Column:
     lines = F.regexp_replace(seen, rf"(?i)<(?:br\s*/?|/(?:{BLOCK_TAGS})\s*)>|<br\s[^>]*>", "\n")
     prose = unescape(F.regexp_replace(lines, "<[^>]*>", ""))
     prose = F.regexp_replace(prose, "[ \t\u00a0]+", " ")
     prose = strip(F.regexp_replace(prose, rx(r"\n\s*\n\s*\n+"), "\n\n"))
     blocks = F.transform(tables_text(seen), lambda t: F.concat(F.lit(settings.TABLE_MARKER + "\n"), t))
-    has_table = F.lower(fragment).contains("<table")
-    return F.when(has_table, F.array_join(F.concat(F.array(prose), blocks), "\n\n")).otherwise(prose)
+    return F.array_join(F.concat(F.array(prose), blocks), "\n\n")
 
 
 def pages(filings: DataFrame, html_col: str = "html") -> DataFrame:
