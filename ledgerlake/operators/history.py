@@ -13,7 +13,7 @@ from ledgerlake.functions.text import strip
 
 # States of a filing.
 TERMINAL = ("ready", "failed")
-INTERRUPTED = "Processing was interrupted by a restart. Upload the filing again to retry."
+INTERRUPTED = "Interrupted before indexing finished - upload it again."
 
 
 def owned_by(user: Column | None) -> Column:
@@ -120,6 +120,3 @@ def askable(questions: DataFrame, filings: DataFrame) -> DataFrame:
     ready = filings.where("status = 'ready' AND deleted_at IS NULL").select("filing_id").distinct()
     return questions.join(ready, "filing_id", "left_semi")
 
-
-def ranked_status(status: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(s) for s in ("queued", "parsing", "chunking", "embedding", "indexing", "ready", "failed")]), status)

@@ -13,14 +13,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ledgerlake.operators import facts, passages, statements, xbrl
 from ledgerlake.operators.history import TERMINAL
 from ledgerlake.session import scratch_dir
-from ledgerlake.sources import exchange, html
+from ledgerlake.sources import html
 
 EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Events as a stream; the zone-less time is cast because a watermark needs a timestamp."""
-    raw = spark.readStream.schema(EVENT_SCHEMA).parquet(path)
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of a folder as a stream; the zone-less time is cast because a watermark needs a timestamp."""
+    raw = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events*.parquet").parquet(folder)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -122,14 +122,24 @@ def stuck_filings(changes: DataFrame, minutes: int = 30, delay: str = "1 minute"
     )
 
 
-def ingest_batch(files: DataFrame, batch_id: int, store: str, buckets: int) -> None:
-    """One micro-batch of raw files into the index; a replayed batch gives the same rows and replaces its own."""
+def _earlier(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
+    ids = spark.read.schema("filing_id string, batch bigint").option("ignoreMissingFiles", "true")
+    return ids.parquet(f"{store}/filings").where(F.col("batch") < batch_id).select("filing_id")
+
+
+def ingest_batch(files: DataFrame, batch_id: int, store: str) -> None:
+    """One micro-batch of raw files into the index; a replayed batch gives the same rows and replaces its own.
+
+    Content already taken in by an earlier batch is skipped.
+    """
     spark = files.sparkSession
     accepted, rejected = html.admit(files)
     rejected.select("path", "error").write.mode("overwrite").parquet(f"{store}/rejected/batch={batch_id}")
     hashed = accepted.select(
         html.content_hash(F.col("content")).alias("filing_id"), "original_name", html.decode_text(F.col("content")).alias("html")
     ).where(~F.lower("original_name").endswith(".pdf")).dropDuplicates(["filing_id"])
+    if batch_id > 0:
+        hashed = hashed.join(_earlier(spark, store, batch_id), "filing_id", "left_anti")
     pages = html.pages(hashed)
     tagged = xbrl.tagged_facts(hashed)
     tables = {
@@ -144,7 +154,7 @@ def ingest_batch(files: DataFrame, batch_id: int, store: str, buckets: int) -> N
     )
 
 
-def ingest_stream(spark: SparkSession, incoming: str, store: str, progress: str, buckets: int = 256):
+def ingest_stream(spark: SparkSession, incoming: str, store: str, progress: str):
     """A running ingest of a folder: every new file once, all files present first, then stop.
 
     Schema and suffix rules are those of the batch scan. Start it again for later arrivals, or set a
@@ -152,6 +162,6 @@ def ingest_stream(spark: SparkSession, incoming: str, store: str, progress: str,
     """
     files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(incoming)
     return (
-        files.writeStream.foreachBatch(lambda rows, batch: ingest_batch(rows, batch, store, buckets))
+        files.writeStream.foreachBatch(lambda rows, batch: ingest_batch(rows, batch, store))
         .option("checkpointLocation", progress).trigger(availableNow=True)
     )
