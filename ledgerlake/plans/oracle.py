@@ -60,9 +60,9 @@ _UNIONS = " UNION ALL ".join(
 )
 FACTS = YEARS + f",\nf AS (SELECT * FROM ({_UNIONS}) WHERE v <> 0)"
 
-MEMBERS = LINES + """,
+_MEMBER_TAIL = """,
 m0 AS (SELECT fid, fy, 'co:' || upper(p_type[1]) || lower(p_type[2:]) || 'GoodsSegmentMember' seg,
-         'co:' || list_aggregate(list_transform(string_split(r_name, ' '), x -> upper(x[1]) || lower(x[2:])), 'string_agg', '') || 'Member' geo,
+         'co:' || list_aggregate(list_transform(string_split(r_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', '') || 'Member' geo,
          rev, cost FROM l JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
          JOIN region ON n_regionkey = r_regionkey),
 m1 AS (SELECT fid, fy, 'us-gaap:StatementBusinessSegmentsAxis' axis, seg member, sum(rev) r, sum(cost) k FROM m0 GROUP BY ALL
@@ -70,6 +70,8 @@ m1 AS (SELECT fid, fy, 'us-gaap:StatementBusinessSegmentsAxis' axis, seg member,
 m AS (SELECT fid, fy, axis, member, 'revenue' c, CAST(r AS DOUBLE) / 100 v FROM m1
       UNION ALL SELECT fid, fy, axis, member, 'cogs', CAST(k AS DOUBLE) / 100 FROM m1)"""
 
+MEMBERS = LINES + _MEMBER_TAIL
+
 # Facts as a filing's reader sees them: untagged rows pair the i-th printed figure with the i-th year of the page.
 _UNTAGGED = ", ".join(f"'{c}'" for c in UNTAGGED)
 READ = FACTS + f""",
@@ -164,7 +166,7 @@ SQL: dict[str, str] = {
     "facts_by_segment": f"WITH {MEMBERS} SELECT fid filing_id, c concept_key, fy fiscal_year, member, v AS value FROM m WHERE axis LIKE '%BusinessSegments%'",
     "facts_by_geography": f"WITH {MEMBERS} SELECT fid filing_id, c concept_key, fy fiscal_year, member, v AS value FROM m WHERE axis LIKE '%Geographical%'",
     "filing_years": f"""WITH {FACTS} SELECT fid filing_id, count(*) n_facts, count(DISTINCT c) n_concepts,
-        (SELECT string_agg(CAST(fy AS VARCHAR), ',' ORDER BY fy DESC) FROM (SELECT DISTINCT fy FROM f g WHERE g.fid = f.fid)) years FROM f GROUP BY fid""",
+        (SELECT string_agg(CAST(fy AS VARCHAR), ',' ORDER BY fy DESC) FROM (SELECT DISTINCT fy FROM f g WHERE g.fid = f.fid)) "years" FROM f GROUP BY fid""",
     "metric_direct": _metrics(DIRECT),
     "metric_profit": _metrics(PROFIT),
     "metric_liquidity": _metrics(LIQUIDITY),
@@ -180,8 +182,7 @@ SQL: dict[str, str] = {
           round(CASE WHEN b / nullif(a, 0) >= 0 AND y1 > y0 THEN pow(b / a, 1.0 / (y1 - y0)) - 1 END, 6) cagr,
           CASE WHEN b > a THEN 'increased' WHEN b < a THEN 'decreased' ELSE 'was unchanged' END direction, round(mean, 6) mean_value
         FROM e WHERE n >= 2""",
-    "activity_top": f"""WITH {FACTS}, x AS (SELECT fid, fy, c, v,
-          coalesce(v, NULL) FROM f WHERE c IN ('ocf', 'icf', 'financing_cf')){metric_cte(["ocf", "icf", "financing_cf"])}
+    "activity_top": f"""WITH {FACTS}{metric_cte(["ocf", "icf", "financing_cf"])}
         SELECT fid filing_id, fy fiscal_year, CASE arg_max(metric, v) WHEN 'ocf' THEN 'operating' WHEN 'icf' THEN 'investing' ELSE 'financing' END activity,
           round(max(v), 6) AS value FROM mt GROUP BY fid, fy HAVING count(*) >= 2""",
     "figure_forms": f"""WITH {FACTS}, k AS (SELECT fid, c, fy, v, abs(v) s FROM f),
@@ -189,7 +190,7 @@ SQL: dict[str, str] = {
           CASE WHEN s >= 1e6 THEN format('{{:,.2f}}', s/1e6) END, CASE WHEN s >= 1e3 THEN format('{{:,.0f}}', s/1e3) END,
           CASE WHEN s >= 1e3 THEN format('{{:,.1f}}', s/1e3) END, CASE WHEN s >= 1e3 THEN format('{{:,.2f}}', s/1e3) END,
           CASE WHEN s >= 1 THEN format('{{:,.0f}}', s) END, CASE WHEN s >= 1 THEN format('{{:,.1f}}', s) END,
-          CASE WHEN s >= 1 THEN format('{{:,.2f}}', s) END], x -> x IS NOT NULL)) forms FROM k)
+          CASE WHEN s >= 1 THEN format('{{:,.2f}}', s) END], lambda x: x IS NOT NULL)) forms FROM k)
         SELECT fid filing_id, c concept_key, fy fiscal_year, len(forms) n_forms,
           CASE WHEN s >= 1 THEN format('{{:,.2f}}', s) END longest FROM t""",
 }
@@ -208,7 +209,7 @@ SQL["geography_bottom"] = _ranked("Geographical", "ASC")
 # --- rendered filings read back
 
 _INCOME_TAGGED = ", ".join(f"'{c}'" for c in CENTS[5] if c not in UNTAGGED)
-SQL["xbrl_facts"] = f"""WITH {FACTS}, {MEMBERS.split('l AS (', 1)[1].split(',', 1)[1] and MEMBERS[len(LINES) + 1:]},
+SQL["xbrl_facts"] = f"""WITH {FACTS}{_MEMBER_TAIL},
     t AS (SELECT * FROM f WHERE c NOT IN ({_UNTAGGED})),
     newest AS (SELECT fid, c, max(fy) fy FROM f GROUP BY fid, c)
     SELECT fid filing_id, c concept_key, v AS value, fy fiscal_year, page, page = 6 instant, '' member, '' axis FROM t
@@ -283,7 +284,7 @@ nm AS (SELECT qa.*, CASE WHEN regexp_matches(form, '%\\s*margin|\\bmargin\\b|as
 nq AS (SELECT *, CASE WHEN named = 'dpo' AND regexp_matches(clause, '(?i)change in inventor(y|ies)') THEN 'dpo_inventory_adjusted' ELSE named END metric,
          string_split(form, '?')[1] upto,
          list_max(list_transform(list_concat(regexp_extract_all(form, '\\b(?:fy|fiscal year|fiscaly|fyear) ?(\\d{{4}})\\b', 1),
-           regexp_extract_all(form, '\\bfiscal\\s+(\\d{{4}})\\b', 1), regexp_extract_all(form, '\\b(20\\d{{2}})\\b', 1)), x -> CAST(x AS INTEGER))) long_year,
+           regexp_extract_all(form, '\\bfiscal\\s+(\\d{{4}})\\b', 1), regexp_extract_all(form, '\\b(20\\d{{2}})\\b', 1)), lambda x: CAST(x AS INTEGER))) long_year,
          regexp_extract(form, '\\bfy\\s*(\\d{{2}})\\b', 1) short_year,
          TRY_CAST(regexp_extract(ask, 'fy(\\d{{4}})\\s*(?:-|to|through|and)\\s*fy(\\d{{4}})', 1) AS INTEGER) r0,
          TRY_CAST(regexp_extract(ask, 'fy(\\d{{4}})\\s*(?:-|to|through|and)\\s*fy(\\d{{4}})', 2) AS INTEGER) r1,
@@ -292,7 +293,7 @@ qq AS (SELECT *, coalesce(long_year, CASE WHEN short_year <> '' THEN CAST('20' |
          NOT regexp_matches(form, '\\b(segment|division|geograph\\w*|business unit|region|by country|by product)\\b|\\b(which|what)\\b[^?]*\\b(highest|lowest|largest|smallest|best|worst|most|least|biggest)\\b|\\bexclud\\w+\\b')
          AND NOT regexp_matches(upto, '\\bwhich\\b[^?]*\\b(are|were|is|was)\\b|\\bwho\\b|\\bwhat (are|is) the (major|main|primary|key|nature|purpose|outcome|agenda)\\b|\\bstable trend\\b|\\btrend of\\b|\\bexplain\\b|\\bdescribe\\b|\\bwhy\\b')
          AND (regexp_matches(form, '\\bhow much\\b|\\bhow many\\b|\\bwhat (is|was|are|were)\\b|\\bwhat''?s\\b|\\bcalculate\\b|\\bcompute\\b|\\bamount of\\b|\\bvalue of\\b|\\b(does|did|do|is|was|has|have|had)\\b[^?]*\\b(positive|negative|healthy|improving|higher|lower|increase\\w*|decrease\\w*|grow\\w*|declin\\w*|drop\\w*|capital[- ]intensive)\\b')
-              OR len(list_filter(string_split(upto, ' '), x -> x <> '')) <= 8) supported,
+              OR len(list_filter(string_split(upto, ' '), lambda x: x <> '')) <= 8) supported,
          CASE WHEN regexp_matches(ask, '\\baverage\\b') AND metric NOT IN ({", ".join(f"'{k}'" for k, m in METRICS.items() if m.averaged)}) AND r0 IS NULL AND nyear <> '' THEN 'average'
               WHEN regexp_matches(ask, '\\baverage\\b') AND metric NOT IN ({", ".join(f"'{k}'" for k, m in METRICS.items() if m.averaged)}) AND r0 IS NOT NULL THEN 'average'
               WHEN regexp_matches(ask, '\\bcagr\\b|\\bcompounded? annual growth\\b') AND r1 > r0 THEN 'cagr'
