@@ -352,3 +352,165 @@ SQL["query_expansion"] = f"""WITH {ASKED}, ex(t, items, st, n) AS (VALUES {_EX})
           UNION ALL SELECT question_id, st, n FROM qa JOIN hi ON contains(form, t)) GROUP BY ALL),
     a AS (SELECT question_id, string_agg(x, ' ' ORDER BY n) more FROM (SELECT * FROM i UNION ALL SELECT * FROM s) GROUP BY question_id)
     SELECT question_id, question || coalesce(' ' || more, '') expanded FROM qa LEFT JOIN a USING (question_id)"""
+
+# --- retrieval over the lines of documents
+
+DOCS = r"""
+lp AS (SELECT CAST(doc_id AS VARCHAR) fid, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) - 1 o FROM documents),
+lq AS (SELECT CAST(doc_id AS VARCHAR) fid, split_part(string_split(text, chr(10))[len(string_split(text, chr(10))) // 2 + 1], '.', 1) question FROM documents),
+pt AS (SELECT fid, o, t, regexp_extract_all(lower(t), '[a-z0-9]+') toks FROM lp),
+tk AS (SELECT fid, o, unnest(toks) term FROM pt),
+tf AS (SELECT fid, o, term, count(*) tf FROM tk GROUP BY ALL),
+sz AS (SELECT fid, count(*) n, avg(len(toks)) avgdl FROM pt GROUP BY fid),
+d0 AS (SELECT fid, term, count(*) df FROM tf GROUP BY ALL),
+d1 AS (SELECT *, ln(n - df + 0.5) - ln(df + 0.5) raw FROM d0 JOIN sz USING (fid)),
+ix AS (SELECT d1.*, greatest(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 0.0001) idf
+       FROM d1 JOIN (SELECT fid, avg(raw) mean FROM d1 GROUP BY fid) USING (fid)),
+qt AS (SELECT fid, term, count(*) qtf FROM (SELECT fid, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) term FROM lq) GROUP BY ALL),
+sc AS (SELECT fid, o, round(sum(qtf * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(toks) / avgdl)))), 9) score
+       FROM qt JOIN ix USING (fid, term) JOIN tf USING (fid, term) JOIN pt USING (fid, o) GROUP BY ALL),
+lex AS (SELECT fid, o, coalesce(score, 0) score, row_number() OVER (PARTITION BY fid ORDER BY coalesce(score, 0) DESC, o) place FROM lp LEFT JOIN sc USING (fid, o)),
+hv AS (SELECT fid, o, ((instr('0123456789abcdef', md5(term)[1:1]) - 1) * 16 + instr('0123456789abcdef', md5(term)[2:2]) - 1) % 64 dim, count(*) c FROM tk GROUP BY ALL),
+hq AS (SELECT fid, ((instr('0123456789abcdef', md5(term)[1:1]) - 1) * 16 + instr('0123456789abcdef', md5(term)[2:2]) - 1) % 64 dim, sum(qtf) c FROM qt GROUP BY ALL),
+hn AS (SELECT fid, o, sqrt(sum(c * c)) nn FROM hv GROUP BY ALL), hqn AS (SELECT fid, sqrt(sum(c * c)) nn FROM hq GROUP BY ALL),
+dt AS (SELECT fid, o, CAST(sum(hv.c * hq.c) AS DOUBLE) dot FROM hv JOIN hq USING (fid, dim) GROUP BY ALL),
+cs AS (SELECT lp.fid, lp.o, coalesce(round(dot / (hqn.nn * hn.nn), 9), 0) score FROM lp LEFT JOIN dt USING (fid, o) LEFT JOIN hn USING (fid, o) LEFT JOIN hqn ON hqn.fid = lp.fid),
+sem AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY score DESC, o) place FROM cs)"""
+
+SQL["bm25_idf"] = f"WITH {DOCS} SELECT fid filing_id, term, df, n n_docs, round(avgdl, 6) avgdl, round(idf, 6) idf FROM ix"
+SQL["bm25_top10"] = f"WITH {DOCS} SELECT 'q' || fid question_id, fid || ':' || o passage_id, place, round(score, 6) score FROM lex WHERE place <= 10"
+SQL["hashed_vector_top10"] = f"WITH {DOCS} SELECT 'q' || fid question_id, fid || ':' || o passage_id, place, round(score, 6) score FROM sem WHERE place <= 10"
+SQL["rrf_top10"] = f"""WITH {DOCS}, p AS (SELECT fid, o, place, 0 l FROM lex WHERE place <= 25 UNION ALL SELECT fid, o, place, 1 FROM sem WHERE place <= 25),
+    r AS (SELECT fid, o, round(sum(1.0::DOUBLE / (60 + place)), 12) rrf, min(l * 1000000 + place) s FROM p GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY rrf DESC, s) place FROM r)
+    SELECT 'q' || fid question_id, fid || ':' || o passage_id, place, round(rrf, 9) rrf FROM k WHERE place <= 10"""
+WINDOW = DOCS + """,
+pp AS (SELECT fid, o, place, 0 l FROM lex WHERE place <= 50 UNION ALL SELECT fid, o, place, 1 FROM sem WHERE place <= 50),
+fu AS (SELECT fid, o, round(sum(1.0::DOUBLE / (60 + place)), 12) wide, round(sum(1.0::DOUBLE / (60 + place)) FILTER (place <= 25), 12) near, min(l * 1000000 + place) s FROM pp GROUP BY ALL),
+fp AS (SELECT fid, o, near, row_number() OVER (PARTITION BY fid ORDER BY near DESC NULLS LAST, s) np, row_number() OVER (PARTITION BY fid ORDER BY wide DESC, s) wp FROM fu),
+wt AS (SELECT qt.fid, qt.term, coalesce(idf, ln(sz.n + 0.5) - ln(0.5), 0.0001) idf FROM qt LEFT JOIN ix USING (fid, term) LEFT JOIN (SELECT DISTINCT fid, n FROM ix) sz ON sz.fid = qt.fid),
+wa AS (SELECT fid, sum(idf) total FROM wt GROUP BY fid),
+wh AS (SELECT fid, o, sum(idf) held FROM wt JOIN tf USING (fid, term) GROUP BY ALL),
+rs AS (SELECT fp.*, round(coalesce(coalesce(held, 0) / nullif(total, 0), 0) * 8 - 4, 9) score FROM fp LEFT JOIN wh USING (fid, o) LEFT JOIN wa ON wa.fid = fp.fid),
+es AS (SELECT *, max(score) FILTER (near IS NOT NULL) OVER g > -3 AND max(score) FILTER (near IS NOT NULL) OVER g < -1
+         AND count(*) OVER g > count(near) OVER g AS esc FROM rs WINDOW g AS (PARTITION BY fid)),
+wi AS (SELECT fid, o, score, esc, row_number() OVER (PARTITION BY fid ORDER BY score DESC, CASE WHEN esc THEN wp ELSE np END) pos FROM es WHERE near IS NOT NULL OR esc),
+wn AS (SELECT * FROM wi WHERE pos <= 8)"""
+SQL["rerank_window"] = f"WITH {WINDOW} SELECT 'q' || fid question_id, fid || ':' || o passage_id, o // 10 + 1 page, pos AS position, round(score, 6) score, esc escalated FROM wn"
+SQL["escalation_set"] = f"WITH {WINDOW} SELECT DISTINCT 'q' || fid question_id FROM wn WHERE esc"
+SQL["relevance_gate"] = f"""WITH {WINDOW} SELECT 'q' || fid question_id, round(max(score), 6) top_score, max(score) >= -2 relevant, least(count(*), 3) n_considered
+    FROM wn GROUP BY fid"""
+SQL["ranked_pages"] = f"""WITH {WINDOW}, g AS (SELECT fid, o // 10 + 1 page, max(score) score, min(pos) pos FROM wn GROUP BY ALL)
+    SELECT 'q' || fid question_id, page, row_number() OVER (PARTITION BY fid ORDER BY pos) place, round(score, 6) score FROM g"""
+SQL["prompt_context"] = f"""WITH {WINDOW}, g AS (SELECT fid, string_agg('[Page ' || (o // 10 + 1) || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY pos) c FROM wn JOIN lp USING (fid, o) GROUP BY fid)
+    SELECT 'q' || fid question_id, 'Excerpts:' || chr(10) || c || chr(10) || chr(10) || 'Question: ' || question prompt FROM g JOIN lq USING (fid)"""
+_JUDGED = WINDOW + """,
+j AS (SELECT quality, s FROM labels JOIN (SELECT fid, max(score) s FROM wn GROUP BY fid) ON fid = CAST(doc_id AS VARCHAR))"""
+SQL["retrieval_auc"] = f"""WITH {_JUDGED}, a AS (SELECT s, count(*) FILTER (quality = 1) p, count(*) FILTER (quality = 0) n FROM j GROUP BY s),
+    b AS (SELECT *, coalesce(sum(p) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) above FROM a)
+    SELECT sum(p) positives, sum(n) negatives, round(sum(n * (above + p / 2.0::DOUBLE)) / nullif(sum(p)::DOUBLE * sum(n), 0), 9) auc FROM b"""
+SQL["threshold_curve"] = f"""WITH {_JUDGED} SELECT round(d.s, 6) score, count(*) admitted, round(count(*) FILTER (quality = 1) / count(*)::DOUBLE, 6) "precision",
+    round(count(*) FILTER (quality = 1) / nullif((SELECT count(*) FROM j WHERE quality = 1), 0)::DOUBLE, 6) recall
+    FROM (SELECT DISTINCT s FROM j) d JOIN j ON j.s >= d.s GROUP BY d.s"""
+SQL["vector_top10"] = """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE v, generate_subscripts(embedding, 1) i FROM embeddings),
+    c AS (SELECT label, i, avg(v) v FROM e GROUP BY ALL), cn AS (SELECT label, sqrt(sum(v * v)) nn FROM c GROUP BY label),
+    s AS (SELECT e.label, vec_id, sum(e.v * c.v) / (any_value(cn.nn) * sqrt(sum(e.v * e.v))) score FROM e JOIN c USING (label, i) JOIN cn ON cn.label = e.label GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) place FROM s)
+    SELECT CAST(label AS VARCHAR) filing_id, vec_id passage_id, place, round(score, 6) score FROM k WHERE place <= 10"""
+
+# --- verification
+
+
+def _fold(x: str) -> str:
+    return f"lower(regexp_replace(regexp_replace({x}, '\\s+', ' ', 'g'), '^ | $', '', 'g'))"
+
+
+def _collapse(x: str) -> str:
+    inner = _fold(f"replace({x}, '|', ' ')")
+    return f"regexp_replace(regexp_replace(regexp_replace({inner}, '([$£€])\\s+', '\\1', 'g'), '\\s+([%)])', '\\1', 'g'), '\\(\\s+', '(', 'g')"
+
+
+SQL["quote_on_page"] = f"""WITH lp AS (SELECT CAST(doc_id AS VARCHAR) fid, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) - 1 o FROM documents),
+    c AS (SELECT fid, o, CASE WHEN o % 3 = 2 THEN o + 1 ELSE o END page, translate(replace(substr(t, length(t) // 2 + 1), ' ', '  '), 'abcde', 'ABCDE') quote FROM lp),
+    j AS (SELECT c.*, p.t page_text FROM c LEFT JOIN lp p ON p.fid = c.fid AND p.o = c.page),
+    n AS (SELECT *, trim(quote) <> '' AND (contains({_fold("page_text")}, {_fold("quote")}) OR contains({_collapse("page_text")}, {_collapse("quote")})
+        OR contains(translate({_collapse("page_text")}, '$£€', ''), translate({_collapse("quote")}, '$£€', ''))) ok FROM j)
+    SELECT fid || ':' || o question_id, page_text IS NOT NULL AND ok on_page, CASE WHEN page_text IS NULL THEN 'page ' || page || ' is outside this filing'
+      WHEN NOT ok THEN 'quote not found on page ' || page ELSE '' END failure FROM n"""
+SQL["answer_numbers"] = r"""WITH n AS (SELECT doc_id, regexp_extract_all(text, '\$?-?\d+(?:,\d{3})*(?:\.\d+)?%?') n FROM documents)
+    SELECT doc_id, len(n) n_numbers, coalesce(array_to_string(n, ' '), '') numbers FROM n"""
+_NEAR = "abs({v} - {t}) <= greatest(0.015, abs({t}) * 0.003)"
+
+
+def _derived(t: str) -> str:
+    forms = ("a + b", "a - b", "a / b", "a / b * 100", "(a - b) / b * 100", "(a + b) / 2")
+    return "(" + " OR ".join(_NEAR.format(v=f"({f})", t=t) for f in forms) + ")"
+
+
+SQL["reconstruct_pairs"] = f"""WITH {FACTS}{wide("f")},
+    p AS (SELECT pv.fid, pv.fy, gross_profit g, round(gross_profit / 7 + 12345.67, 2) x, list_distinct(list_filter([revenue, cogs, net_income, tax_expense], lambda v: v IS NOT NULL AND v <> 0)) vs
+          FROM pv WHERE gross_profit IS NOT NULL),
+    e AS (SELECT p.fid, p.fy, g, x, a, b FROM p, unnest(vs) t1(a), unnest(vs) t2(b) WHERE a <> b)
+    SELECT p.fid filing_id, p.fy fiscal_year, coalesce(bool_or({_derived("e.g")}), false) from_parts, coalesce(bool_or({_derived("e.x")}), false) from_noise
+    FROM p LEFT JOIN e USING (fid, fy) GROUP BY ALL"""
+SQL["verify_answers"] = f"""WITH {FACTS}, p AS (SELECT r.fid, r.fy, r.v rev, g.v gp FROM f r JOIN f g USING (fid, fy) WHERE r.c = 'revenue' AND g.c = 'gross_profit' AND g.v > 0),
+    t AS (SELECT *, CAST(format('{{:.1f}}', gp / rev * 100 + CASE WHEN fy % 2 = 1 THEN 7.7 ELSE 0 END) AS DOUBLE) m FROM p),
+    e AS (SELECT t.*, a, b FROM t, LATERAL (VALUES (gp, rev), (rev, gp)) x(a, b) WHERE a <> b),
+    k AS (SELECT fid, fy, bool_or({_derived("m")}) ok FROM e GROUP BY ALL),
+    z AS (SELECT fid || '-' || fy question_id, CASE WHEN fy % 4 = 0 THEN 'quote not found on page 6' WHEN NOT coalesce(ok, false) THEN 'answer contains a number not present in the quotes' ELSE 'verified' END reason
+          FROM t LEFT JOIN k USING (fid, fy))
+    SELECT question_id, reason = 'verified' passed, reason FROM z"""
+SQL["proposal_parse"] = r"""WITH c AS (SELECT conv_id, turn, turn % 4 n, regexp_replace(text, '\s', '', 'g') <> '' filled FROM conversations)
+    SELECT conv_id, turn, n IN (0, 1) AS "found", n = 3 malformed, CASE WHEN n IN (0, 1) AND filled THEN 1 ELSE 0 END n_citations,
+      CASE WHEN n = 0 AND filled THEN 1 WHEN n = 1 AND filled THEN 7 ELSE 0 END first_page FROM c"""
+
+# --- answers
+
+SQL["question_values"] = f"""WITH {READ}{metric_cte(list(METRICS), "g", spine=True)}, {NAMED},
+    yl2 AS (SELECT fid, list(DISTINCT fy ORDER BY fy) ys FROM g GROUP BY fid),
+    ask2 AS (SELECT question_id, fid, metric, kind, CASE WHEN kind = 'single' THEN [coalesce(qyear, ys[len(ys)])]
+        WHEN r0 IS NOT NULL AND kind = 'average' THEN range(least(r0, r1), greatest(r0, r1) + 1) WHEN r1 > r0 THEN [r0, r1]
+        WHEN kind = 'average' THEN ys[greatest(len(ys) - CASE nyear WHEN 'two' THEN 2 WHEN 'three' THEN 3 ELSE coalesce(TRY_CAST(nyear AS INTEGER), 3) END + 1, 1):]
+        ELSE ys[greatest(len(ys) - 1, 1):] END years FROM ref JOIN yl2 ON fid = filing_id WHERE refusal IS NULL AND metric IS NOT NULL),
+    pv2 AS (SELECT question_id, a.metric, kind, fy, v FROM ask2 a JOIN mt ON mt.fid = a.fid AND mt.metric = a.metric AND list_contains(years, mt.fy) WHERE kind = 'single' OR len(years) >= 2),
+    ag AS (SELECT question_id, metric, kind, count(*) n, min(fy) y0, max(fy) y1, arg_min(v, fy) a, arg_max(v, fy) b, avg(v) mean FROM pv2 GROUP BY ALL HAVING kind = 'single' OR n >= 2),
+    rv AS (SELECT *, CASE kind WHEN 'average' THEN mean WHEN 'change' THEN b - a WHEN 'cagr' THEN CASE WHEN b / nullif(a, 0) >= 0 THEN pow(b / a, 1.0 / (y1 - y0)) - 1 END ELSE b END val FROM ag)
+    SELECT question_id, metric, kind, round(val, 6) AS value, y0 first_year, y1 last_year FROM rv WHERE val IS NOT NULL"""
+SQL["segment_ranking"] = f"""WITH {FACTS}{_MEMBER_TAIL}, {NAMED}, fl AS (SELECT fid, max(fy) newest FROM f GROUP BY fid),
+    s AS (SELECT question_id, filing_id, named, coalesce(qyear, newest) yr, regexp_matches(form, '\\bgeograph\\w*|\\bregions?\\b|\\bcountry\\b|\\bcountries\\b') geo,
+        regexp_matches(form, '\\b(lowest|smallest|least|worst)\\b') low FROM qq JOIN fl ON fid = filing_id WHERE named = 'revenue'
+        AND regexp_matches(form, '\\b(segments?|divisions?|business units?|reporting units?|geograph\\w*|regions?|country|countries|markets?)\\b')
+        AND regexp_matches(form, '\\b(highest|largest|biggest|most|greatest|best|top|lowest|smallest|least|worst)\\b')),
+    r AS (SELECT s.*, member, v, count(*) OVER (PARTITION BY question_id) n, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN low THEN v ELSE -v END) k
+        FROM s JOIN m ON m.fid = filing_id AND m.fy = yr AND m.c = 'revenue' AND (axis LIKE '%Geographical%') = geo)
+    SELECT question_id, named metric, yr AS "year", trim(regexp_replace(regexp_replace(regexp_replace(member, '^[^:]*:', ''), '(Segment)?Member$', ''), '([a-z])([A-Z])', '\\1 \\2', 'g')) winner, v AS value
+    FROM r WHERE n >= 2 AND k = 1"""
+
+# --- history and streams
+
+_PAIRS = """u AS (SELECT conv_id, turn, text question FROM conversations WHERE role = 'user'),
+    s AS (SELECT conv_id, turn - 1 turn, text answer FROM conversations WHERE role = 'assistant'),
+    ms AS (SELECT conv_id session_id, CASE WHEN conv_id % 5 <> 0 THEN conv_id % 7 END user_id, turn message_id, question, answer FROM u JOIN s USING (conv_id, turn))"""
+SQL["session_list"] = f"""WITH {_PAIRS}, c AS (SELECT DISTINCT conv_id FROM conversations)
+    SELECT conv_id session_id, CASE WHEN conv_id % 5 <> 0 THEN conv_id % 7 END user_id, CAST(conv_id % 10 AS VARCHAR) filing_id, count(message_id) message_count
+    FROM c LEFT JOIN ms ON session_id = conv_id WHERE conv_id % 11 <> 3 GROUP BY conv_id"""
+SQL["session_title"] = rf"""WITH {_PAIRS} SELECT session_id, substr(regexp_replace(arg_min(question, message_id), '^\s+|\s+$', '', 'g'), 1, 60) title FROM ms GROUP BY session_id"""
+SQL["history_search"] = f"""WITH {_PAIRS} SELECT session_id, message_id, question FROM ms WHERE user_id IS NULL AND session_id % 11 <> 3
+    AND (question ILIKE '%TION%' OR answer ILIKE '%TION%') ORDER BY message_id DESC, session_id DESC LIMIT 30"""
+SQL["citations_fallback"] = f"""WITH {_PAIRS} SELECT session_id, message_id, CASE WHEN message_id % 4 = 0 THEN 9 WHEN substr(question, 1, 5) <> '' THEN 2 END page,
+    CASE WHEN message_id % 4 = 0 THEN substr(answer, 1, 5) ELSE nullif(substr(question, 1, 5), '') END AS "quote" FROM ms"""
+_STATUS = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'parsing' WHEN 'click' THEN 'indexing' WHEN 'purchase' THEN 'ready' ELSE 'failed' END"
+SQL["status_latest"] = f"""SELECT user_id filing_id, arg_max({_STATUS}, ts) status, arg_max(CAST(trunc(value) AS INTEGER), ts) FILTER (event_type = 'click') num_pages
+    FROM events GROUP BY user_id"""
+SQL["interrupted_failed"] = f"""WITH s AS (SELECT user_id filing_id, arg_max({_STATUS}, ts) st FROM events GROUP BY user_id)
+    SELECT filing_id, CASE WHEN st IN ('ready', 'failed') THEN st ELSE 'failed' END status,
+      CASE WHEN st NOT IN ('ready', 'failed') THEN 'Interrupted before indexing finished - upload it again.' END error FROM s"""
+SQL["feedback_rollup"] = """SELECT user_id message_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 END feedback FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1"""
+SQL["usage_daily"] = """SELECT CAST(ts AS DATE) AS "day", event_type, count(*) n, count(DISTINCT user_id) users, round(sum(value), 4) AS value FROM events GROUP BY ALL"""
+SQL["stream_usage"] = """SELECT CAST(ts AS DATE) AS "day", event_type, count(*) n, round(sum(value), 4) AS value, max(value) max_value FROM events
+    WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL"""
+SQL["stream_sessions"] = """WITH a AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM a),
+    c AS (SELECT user_id, k, count(*) n, sum(value) v, max(ts) t FROM b GROUP BY ALL)
+    SELECT user_id, n, round(v, 4) AS value FROM c WHERE t + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""

@@ -284,7 +284,7 @@ def _document_window(spark, d):
 
 
 def rerank_window(spark, d):
-    return _document_window(spark, d).select("question_id", "passage_id", "position", F.round("score", 6).alias("score"), "escalated")
+    return _document_window(spark, d).select("question_id", "passage_id", "page", "position", F.round("score", 6).alias("score"), "escalated")
 
 
 def escalation_set(spark, d):
@@ -316,9 +316,10 @@ def filing_window(spark, d):
 # --- verification
 
 def _line_citations(spark, d):
-    """Each line cited by its own second half in other spacing and case; every third is cited one line too far."""
+    """Each line cited by its own second half in other spacing and case; every third line cites the next one."""
     p = documents.line_passages(spark, d).select("filing_id", "ordinal", "text")
-    quote = F.upper(F.replace(F.substr("text", F.floor(F.length("text") / 2).cast("int") + 1, F.length("text")), F.lit(" "), F.lit("  ")))
+    half = F.substr("text", F.floor(F.length("text") / 2).cast("int") + 1, F.length("text"))
+    quote = F.translate(F.replace(half, F.lit(" "), F.lit("  ")), "abcde", "ABCDE")
     page = F.when(F.col("ordinal") % 3 == 2, F.col("ordinal") + 1).otherwise(F.col("ordinal"))
     cites = p.select(F.concat("filing_id", F.lit(":"), F.col("ordinal").cast("string")).alias("question_id"), "filing_id",
                      F.lit(0).alias("pos"), page.alias("page"), quote.alias("quote"))
