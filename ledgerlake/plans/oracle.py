@@ -357,7 +357,8 @@ SQL["query_expansion"] = f"""WITH {ASKED}, ex(t, items, st, n) AS (VALUES {_EX})
 
 DOCS = r"""
 lp AS (SELECT CAST(doc_id AS VARCHAR) fid, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) - 1 o FROM documents),
-lq AS (SELECT CAST(doc_id AS VARCHAR) fid, split_part(string_split(text, chr(10))[len(string_split(text, chr(10))) // 2 + 1], '.', 1) question FROM documents),
+ls AS (SELECT CAST(doc_id AS VARCHAR) fid, string_split(text, chr(10)) ls FROM documents),
+lq AS (SELECT fid, split_part(ls[1], '.', 1) || ' ' || split_part(coalesce(ls[len(ls) // 2 + 1], ls[1]), '.', 1) || ' ' || split_part(ls[len(ls)], '.', 1) question FROM ls),
 pt AS (SELECT fid, o, t, regexp_extract_all(lower(t), '[a-z0-9]+') toks FROM lp),
 tk AS (SELECT fid, o, unnest(toks) term FROM pt),
 tf AS (SELECT fid, o, term, count(*) tf FROM tk GROUP BY ALL),
@@ -471,8 +472,8 @@ SQL["question_values"] = f"""WITH {READ}{metric_cte(list(METRICS), "g", spine=Tr
     ask2 AS (SELECT question_id, fid, metric, kind, CASE WHEN kind = 'single' THEN [coalesce(qyear, ys[len(ys)])]
         WHEN r0 IS NOT NULL AND kind = 'average' THEN range(least(r0, r1), greatest(r0, r1) + 1) WHEN r1 > r0 THEN [r0, r1]
         WHEN kind = 'average' THEN ys[greatest(len(ys) - CASE nyear WHEN 'two' THEN 2 WHEN 'three' THEN 3 ELSE coalesce(TRY_CAST(nyear AS INTEGER), 3) END + 1, 1):]
-        ELSE ys[greatest(len(ys) - 1, 1):] END years FROM ref JOIN yl2 ON fid = filing_id WHERE refusal IS NULL AND metric IS NOT NULL),
-    pv2 AS (SELECT question_id, a.metric, kind, fy, v FROM ask2 a JOIN mt ON mt.fid = a.fid AND mt.metric = a.metric AND list_contains(years, mt.fy) WHERE kind = 'single' OR len(years) >= 2),
+        ELSE ys[greatest(len(ys) - 1, 1):] END yrs FROM ref JOIN yl2 ON fid = filing_id WHERE refusal IS NULL AND metric IS NOT NULL),
+    pv2 AS (SELECT question_id, a.metric, kind, fy, v FROM ask2 a JOIN mt ON mt.fid = a.fid AND mt.metric = a.metric AND list_contains(yrs, mt.fy) WHERE kind = 'single' OR len(yrs) >= 2),
     ag AS (SELECT question_id, metric, kind, count(*) n, min(fy) y0, max(fy) y1, arg_min(v, fy) a, arg_max(v, fy) b, avg(v) mean FROM pv2 GROUP BY ALL HAVING kind = 'single' OR n >= 2),
     rv AS (SELECT *, CASE kind WHEN 'average' THEN mean WHEN 'change' THEN b - a WHEN 'cagr' THEN CASE WHEN b / nullif(a, 0) >= 0 THEN pow(b / a, 1.0 / (y1 - y0)) - 1 END ELSE b END val FROM ag)
     SELECT question_id, metric, kind, round(val, 6) AS value, y0 first_year, y1 last_year FROM rv WHERE val IS NOT NULL"""
@@ -507,9 +508,9 @@ SQL["interrupted_failed"] = f"""WITH s AS (SELECT user_id filing_id, arg_max({_S
       CASE WHEN st NOT IN ('ready', 'failed') THEN 'Interrupted before indexing finished - upload it again.' END error FROM s"""
 SQL["feedback_rollup"] = """SELECT user_id message_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 END feedback FROM events
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1"""
-SQL["usage_daily"] = """SELECT CAST(ts AS DATE) AS "day", event_type, count(*) n, count(DISTINCT user_id) users, round(sum(value), 4) AS value FROM events GROUP BY ALL"""
-SQL["stream_usage"] = """SELECT CAST(ts AS DATE) AS "day", event_type, count(*) n, round(sum(value), 4) AS value, max(value) max_value FROM events
-    WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL"""
+SQL["usage_daily"] = """SELECT strftime(ts, '%Y-%m-%d') AS "day", event_type, count(*) n, count(DISTINCT user_id) users, round(sum(value), 4) AS value FROM events GROUP BY ALL"""
+SQL["stream_usage"] = """SELECT strftime(ts, '%Y-%m-%d') AS "day", event_type, count(*) n, round(sum(value), 4) AS value, max(value) max_value FROM events
+    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL"""
 SQL["stream_sessions"] = """WITH a AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM a),
     c AS (SELECT user_id, k, count(*) n, sum(value) v, max(ts) t FROM b GROUP BY ALL)

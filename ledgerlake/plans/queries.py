@@ -473,14 +473,14 @@ def feedback_rollup(spark, d):
 
 def usage_daily(spark, d):
     e = table(spark, d, "events")
-    return e.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).cast("date").alias("day"), "event_type").agg(
+    return e.groupBy(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("day"), "event_type").agg(
         F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("value"))
 
 
 def stream_usage(spark, d):
     rows = jobs.usage(jobs.event_stream(spark, d))
     done = jobs.finished(rows, spark, "stream-usage")
-    return done.select(F.col("window_start").cast("date").alias("day"), "event_type", "n", F.round("value", 4).alias("value"), "max_value")
+    return done.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 4).alias("value"), "max_value")
 
 
 def stream_sessions(spark, d):

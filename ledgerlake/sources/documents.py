@@ -54,10 +54,11 @@ def line_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def line_questions(spark: SparkSession, folder: str) -> DataFrame:
-    """One question per document, asked of that document: the first sentence of its middle line."""
-    lines = F.split("text", "\n", -1)
-    middle = F.get(lines, F.floor(F.size(lines) / 2).cast("int"))
-    return documents(spark, folder).select(
-        F.concat(F.lit("q"), F.col("filing_id")).alias("question_id"), "filing_id",
-        F.coalesce(F.substring_index(middle, ".", 1), F.lit("")).alias("question"),
+    """One question per document, asked of that document: the first sentences of its first, middle and last line."""
+    rows = documents(spark, folder).select("filing_id", F.split("text", "\n", -1).alias("lines"))
+    n = F.size("lines")
+    picked = F.array(F.lit(0), F.floor(n / 2).cast("int"), n - 1)
+    sentences = F.transform(picked, lambda i: F.substring_index(F.get("lines", i), ".", 1))
+    return rows.select(
+        F.concat(F.lit("q"), F.col("filing_id")).alias("question_id"), "filing_id", F.array_join(sentences, " ").alias("question")
     )
