@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,11 +37,13 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 
     Only where the setting is absent, as in local tests, is a machine-local folder used.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root(spark.sparkContext.applicationId)
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+@lru_cache(maxsize=None)
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def stored(rows: DataFrame, purpose: str) -> DataFrame:

@@ -17,6 +17,8 @@ from ledgerlake.sources import html
 
 EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
+FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Events of a folder as a stream; the zone-less time is cast because a watermark needs a timestamp."""
@@ -160,7 +162,7 @@ def ingest_stream(spark: SparkSession, incoming: str, store: str, progress: str)
     Schema and suffix rules are those of the batch scan. Start it again for later arrivals, or set a
     processing-time trigger on the returned builder to keep it running.
     """
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(incoming)
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").load(incoming)
     return (
         files.writeStream.foreachBatch(lambda rows, batch: ingest_batch(rows, batch, store))
         .option("checkpointLocation", progress).trigger(availableNow=True)
