@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.text import match_form, matched_keys
+from ledgerlake.functions.text import bind, match_form, matched_keys
 
 _CASH = "consolidated statement of cash flows"
 _BALANCE = "consolidated balance sheets"
@@ -96,10 +96,12 @@ def _term(term: str) -> str:
 
 def expand(question: Column) -> Column:
     """The question, then the line items and the statements of every term it contains, each once."""
-    form = match_form(question)
-    hits = [(t, i, s, F.contains(form, F.lit(_term(t)))) for t, i, s in EXPANSIONS]
-    items = F.array_distinct(matched_keys([(i, cond) for _, i, _, cond in hits]))
-    named = [(s, cond) for _, _, s, cond in hits if s]
-    hints = [(s, F.contains(form, F.lit(_term(t)))) for t, s in STATEMENT_HINTS.items()]
-    statements = F.array_distinct(matched_keys([*named, *hints]))
-    return F.array_join(F.concat(F.array(question), items, statements), " ")
+
+    def found(form: Column) -> Column:
+        hits = [(t, i, s, F.contains(form, F.lit(_term(t)))) for t, i, s in EXPANSIONS]
+        items = F.array_distinct(matched_keys([(i, cond) for _, i, _, cond in hits]))
+        named = [(s, cond) for _, _, s, cond in hits if s]
+        hints = [(s, F.contains(form, F.lit(_term(t)))) for t, s in STATEMENT_HINTS.items()]
+        return F.concat(items, F.array_distinct(matched_keys([*named, *hints])))
+
+    return F.array_join(F.concat(F.array(question), bind(match_form(question), found)), " ")

@@ -71,21 +71,23 @@ def printed_forms(value: Column) -> Column:
     return F.transform(F.array_sort(by_length), lambda s: s["text"])
 
 
-def quote_line(page_text: Column, value: Column) -> Column:
-    """The page's own line that shows a figure: a labelled row if there is one, else a bare cell, else null."""
+def figure_lines(page_text: Column) -> Column:
+    """The lines of a page that can show a figure: not blank, not overlong, with a digit. Made once per page."""
+    lines = F.transform(F.filter(F.split(page_text, "\n"), lambda s: s.rlike("[0-9]")), strip)
+    return F.filter(lines, lambda s: F.length(s) <= 400)
 
-    def pick(forms: Column) -> Column:
-        lines = F.transform(F.split(page_text, "\n"), strip)
-        usable = F.filter(lines, lambda s: (F.length(s) > 0) & (F.length(s) <= 400))
-        return F.filter(usable, lambda s: F.exists(forms, lambda f: F.contains(s, f)))
 
-    hits = bind(printed_forms(value), pick)
+def quote_line(lines: Column, value: Column) -> Column:
+    """Of a page's figure lines, the one that shows a value: a labelled row if there is one, else a bare cell, else null."""
+
+    def pick(forms: Column) -> Column:
+        return F.filter(lines, lambda s: F.exists(forms, lambda f: F.contains(s, f)))
 
     def best(found: Column) -> Column:
         labelled = F.filter(found, lambda s: F.length(F.regexp_replace(s, r"\P{L}", "")) >= 4)
         return F.coalesce(F.get(labelled, F.lit(0)), F.get(found, F.lit(0)))
 
-    return bind(hits, best)
+    return bind(bind(printed_forms(value), pick), best)
 
 
 def display(value: Column, unit: Column) -> Column:

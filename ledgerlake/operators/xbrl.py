@@ -23,8 +23,8 @@ def has_tags(body: Column) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    found = F.regexp_extract(tag, rf'(?i){name}="([^"]*)"', 1)
-    return F.when(tag.rlike(rf'(?i){name}="'), found)
+    """The attribute's value, empty when absent."""
+    return F.regexp_extract(tag, rf'(?i){name}="([^"]*)"', 1)
 
 
 def fact_value(raw: Column, scale: Column, sign: Column) -> Column:

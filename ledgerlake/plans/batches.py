@@ -41,7 +41,7 @@ def answer_batch(asked: DataFrame, lake: Lake, raw_proposals: DataFrame | None =
     """
     spark = asked.sparkSession
     annotated = stored(questions.route(questions.annotate(asked), facts.filing_summary(lake.facts)), "questions")
-    located = stored(computed.quoted_locations(lake.facts, lake.pages), "located")
+    located = stored(computed.quoted_locations(lake.facts, lake.pages, computed.needed_facts(annotated)), "located")
     stats = stored(bm25.term_stats(lake.passages), "term_stats")
     words = structure.page_words(lake.passages)
     anchors = structure.anchor_pages(annotated, structure.concept_pages(words, xbrl.concept_pages(lake.tagged)))

@@ -16,7 +16,7 @@ from ledgerlake.plans import batches
 from ledgerlake.session import stored
 from ledgerlake.sources import asked, documents, filings, html, star
 from ledgerlake.sources.exchange import parse_proposals
-from ledgerlake.sources.tables import table
+from ledgerlake.sources.tables import spread, table
 from ledgerlake.streaming import jobs
 
 PROFIT = "gross_margin cogs_margin operating_margin net_margin ebitda ebitda_margin dna_margin rnd_margin sga_margin effective_tax_rate fcf_margin fcf_conversion capital_intensity".split()
@@ -41,7 +41,7 @@ def _markup(spark, d) -> DataFrame:
 
 
 def _lake(spark, d) -> batches.Lake:
-    return _once(spark, d, "lake", lambda: batches.ingest(_markup(spark, d)))
+    return _once(spark, d, "lake", lambda: batches.ingest(spread(_markup(spark, d))))
 
 
 def _best(spark, d) -> DataFrame:
@@ -119,7 +119,7 @@ def figure_forms(spark, d):
 # --- ingest of rendered filings and of web pages
 
 def xbrl_facts(spark, d):
-    t = xbrl.to_facts(xbrl.tagged_facts(_markup(spark, d)))
+    t = xbrl.to_facts(_lake(spark, d).tagged)
     return t.select("filing_id", "concept_key", "value", "fiscal_year", "page", "instant", "member", "axis")
 
 
@@ -167,7 +167,7 @@ def anchor_pages(spark, d):
 
 
 def _web(spark, d):
-    return table(spark, d, "pages").select(F.col("page_id").cast("string").alias("filing_id"), "html")
+    return spread(table(spark, d, "pages").select(F.col("page_id").cast("string").alias("filing_id"), "html"))
 
 
 def html_text(spark, d):
@@ -390,7 +390,7 @@ def proposal_parse(spark, d):
 
 def question_values(spark, d):
     lake, q = _lake(spark, d), stored(_annotated(spark, d), "questions")
-    located = stored(computed.quoted_locations(lake.facts, lake.pages), "located")
+    located = stored(computed.quoted_locations(lake.facts, lake.pages, computed.needed_facts(q)), "located")
     a = computed.answers(q, lake.facts, lake.pages, located)
     return a.select("question_id", "metric", "kind", F.round("value", 6).alias("value"), "first_year", "last_year")
 

@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake import settings
-from ledgerlake.sources.tables import table
+from ledgerlake.sources.tables import spread, table
 
 LINES_PER_PAGE = 10
 CELLS_PER_ROW = 8
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("filing_id"), "source", "text")
+    rows = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("filing_id"), "source", "text")
+    return spread(rows)
 
 
 def _as_table(line: Column) -> Column:
