@@ -379,8 +379,8 @@ cs AS (SELECT lp.fid, lp.o, coalesce(round(dot / (hqn.nn * hn.nn), 9), 0) score
 sem AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY score DESC, o) place FROM cs)"""
 
 SQL["bm25_idf"] = f"WITH {DOCS} SELECT fid filing_id, term, df, n n_docs, round(avgdl, 6) avgdl, round(idf, 6) idf FROM ix"
-SQL["bm25_top10"] = f"WITH {DOCS} SELECT 'q' || fid question_id, fid || ':' || o passage_id, place, round(score, 6) score FROM lex WHERE place <= 10"
-SQL["hashed_vector_top10"] = f"WITH {DOCS} SELECT 'q' || fid question_id, fid || ':' || o passage_id, place, round(score, 6) score FROM sem WHERE place <= 10"
+SQL["bm25_top10"] = f"WITH {DOCS} SELECT 'q' || fid question_id, fid || ':' || o passage_id, place, round(score + 1e-10, 6) score FROM lex WHERE place <= 10"
+SQL["hashed_vector_top10"] = f"WITH {DOCS} SELECT 'q' || fid question_id, fid || ':' || o passage_id, place, round(score + 1e-10, 6) score FROM sem WHERE place <= 10"
 SQL["rrf_top10"] = f"""WITH {DOCS}, p AS (SELECT fid, o, place, 0 l FROM lex WHERE place <= 25 UNION ALL SELECT fid, o, place, 1 FROM sem WHERE place <= 25),
     r AS (SELECT fid, o, round(sum(1.0::DOUBLE / (60 + place)), 12) rrf, min(l * 1000000 + place) s FROM p GROUP BY ALL),
     k AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY rrf DESC, s) place FROM r)
@@ -397,12 +397,12 @@ es AS (SELECT *, max(score) FILTER (near IS NOT NULL) OVER g > -3 AND max(score)
          AND count(*) OVER g > count(near) OVER g AS esc FROM rs WINDOW g AS (PARTITION BY fid)),
 wi AS (SELECT fid, o, score, esc, row_number() OVER (PARTITION BY fid ORDER BY score DESC, CASE WHEN esc THEN wp ELSE np END) pos FROM es WHERE near IS NOT NULL OR esc),
 wn AS (SELECT * FROM wi WHERE pos <= 8)"""
-SQL["rerank_window"] = f"WITH {WINDOW} SELECT 'q' || fid question_id, fid || ':' || o passage_id, o // 10 + 1 page, pos AS position, round(score, 6) score, esc escalated FROM wn"
+SQL["rerank_window"] = f"WITH {WINDOW} SELECT 'q' || fid question_id, fid || ':' || o passage_id, o // 10 + 1 page, pos AS position, round(score + 1e-10, 6) score, esc escalated FROM wn"
 SQL["escalation_set"] = f"WITH {WINDOW} SELECT DISTINCT 'q' || fid question_id FROM wn WHERE esc"
-SQL["relevance_gate"] = f"""WITH {WINDOW} SELECT 'q' || fid question_id, round(max(score), 6) top_score, max(score) >= -2 relevant, least(count(*), 3) n_considered
+SQL["relevance_gate"] = f"""WITH {WINDOW} SELECT 'q' || fid question_id, round(max(score) + 1e-10, 6) top_score, max(score) >= -2 relevant, least(count(*), 3) n_considered
     FROM wn GROUP BY fid"""
 SQL["ranked_pages"] = f"""WITH {WINDOW}, g AS (SELECT fid, o // 10 + 1 page, max(score) score, min(pos) pos FROM wn GROUP BY ALL)
-    SELECT 'q' || fid question_id, page, row_number() OVER (PARTITION BY fid ORDER BY pos) place, round(score, 6) score FROM g"""
+    SELECT 'q' || fid question_id, page, row_number() OVER (PARTITION BY fid ORDER BY pos) place, round(score + 1e-10, 6) score FROM g"""
 SQL["prompt_context"] = f"""WITH {WINDOW}, g AS (SELECT fid, string_agg('[Page ' || (o // 10 + 1) || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY pos) c FROM wn JOIN lp USING (fid, o) GROUP BY fid)
     SELECT 'q' || fid question_id, 'Excerpts:' || chr(10) || c || chr(10) || chr(10) || 'Question: ' || question prompt FROM g JOIN lq USING (fid)"""
 _JUDGED = WINDOW + """,
@@ -410,14 +410,14 @@ j AS (SELECT quality, s FROM labels JOIN (SELECT fid, max(score) s FROM wn GROUP
 SQL["retrieval_auc"] = f"""WITH {_JUDGED}, a AS (SELECT s, count(*) FILTER (quality = 1) p, count(*) FILTER (quality = 0) n FROM j GROUP BY s),
     b AS (SELECT *, coalesce(sum(p) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) above FROM a)
     SELECT sum(p) positives, sum(n) negatives, round(sum(n * (above + p / 2.0::DOUBLE)) / nullif(sum(p)::DOUBLE * sum(n), 0), 9) auc FROM b"""
-SQL["threshold_curve"] = f"""WITH {_JUDGED} SELECT round(d.s, 6) score, count(*) admitted, round(count(*) FILTER (quality = 1) / count(*)::DOUBLE, 6) "precision",
+SQL["threshold_curve"] = f"""WITH {_JUDGED} SELECT round(d.s + 1e-10, 6) score, count(*) admitted, round(count(*) FILTER (quality = 1) / count(*)::DOUBLE, 6) "precision",
     round(count(*) FILTER (quality = 1) / nullif((SELECT count(*) FROM j WHERE quality = 1), 0)::DOUBLE, 6) recall
     FROM (SELECT DISTINCT s FROM j) d JOIN j ON j.s >= d.s GROUP BY d.s"""
 SQL["vector_top10"] = """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE v, generate_subscripts(embedding, 1) i FROM embeddings),
     c AS (SELECT label, i, avg(v) v FROM e GROUP BY ALL), cn AS (SELECT label, sqrt(sum(v * v)) nn FROM c GROUP BY label),
     s AS (SELECT e.label, vec_id, sum(e.v * c.v) / (any_value(cn.nn) * sqrt(sum(e.v * e.v))) score FROM e JOIN c USING (label, i) JOIN cn ON cn.label = e.label GROUP BY ALL),
     k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) place FROM s)
-    SELECT CAST(label AS VARCHAR) filing_id, vec_id passage_id, place, round(score, 6) score FROM k WHERE place <= 10"""
+    SELECT CAST(label AS VARCHAR) filing_id, vec_id passage_id, place, round(round(score, 9) + 1e-10, 6) score FROM k WHERE place <= 10"""
 
 # --- verification
 

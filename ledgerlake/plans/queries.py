@@ -40,6 +40,11 @@ def _markup(spark, d) -> DataFrame:
     return _once(spark, d, "markup", lambda: stored(filings.filings_html(spark, d), "markup"))
 
 
+def _shown(name: str):
+    """A score kept to nine decimals, shown with six; the offset keeps it off the ties between them."""
+    return F.round(F.col(name) + 1e-10, 6).alias(name)
+
+
 def _lake(spark, d) -> batches.Lake:
     return _once(spark, d, "lake", lambda: batches.ingest(spread(_markup(spark, d))))
 
@@ -251,12 +256,12 @@ def bm25_idf(spark, d):
 
 def bm25_top10(spark, d):
     r = bm25.top_k(documents.line_questions(spark, d), documents.line_passages(spark, d), 10)
-    return r.select("question_id", "passage_id", "place", F.round("score", 6).alias("score"))
+    return r.select("question_id", "passage_id", "place", _shown("score").alias("score"))
 
 
 def vector_top10(spark, d):
     v = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("filing_id"), F.col("vec_id").alias("passage_id"), "embedding")
-    return vectors.top_k(vectors.centroids(v), v, 10, ("passage_id",)).select("filing_id", "passage_id", "place", F.round("score", 6).alias("score"))
+    return vectors.top_k(vectors.centroids(v), v, 10, ("passage_id",)).select("filing_id", "passage_id", "place", _shown("score").alias("score"))
 
 
 def _semantic(spark, d, k):
@@ -266,7 +271,7 @@ def _semantic(spark, d, k):
 
 
 def hashed_vector_top10(spark, d):
-    return _semantic(spark, d, 10).select("question_id", "passage_id", "place", F.round("score", 6).alias("score"))
+    return _semantic(spark, d, 10).select("question_id", "passage_id", "place", _shown("score").alias("score"))
 
 
 def rrf_top10(spark, d):
@@ -284,7 +289,7 @@ def _document_window(spark, d):
 
 
 def rerank_window(spark, d):
-    return _document_window(spark, d).select("question_id", "passage_id", "page", "position", F.round("score", 6).alias("score"), "escalated")
+    return _document_window(spark, d).select("question_id", "passage_id", "page", "position", _shown("score").alias("score"), "escalated")
 
 
 def escalation_set(spark, d):
@@ -293,11 +298,11 @@ def escalation_set(spark, d):
 
 def relevance_gate(spark, d):
     r = retrieval.relevance(_document_window(spark, d))
-    return r.select("question_id", F.round("top_score", 6).alias("top_score"), "relevant", F.size("considered").alias("n_considered"))
+    return r.select("question_id", _shown("top_score").alias("top_score"), "relevant", F.size("considered").alias("n_considered"))
 
 
 def ranked_pages(spark, d):
-    return retrieval.ranked_pages(_document_window(spark, d)).select("question_id", "page", "place", F.round("score", 6).alias("score"))
+    return retrieval.ranked_pages(_document_window(spark, d)).select("question_id", "page", "place", _shown("score").alias("score"))
 
 
 def prompt_context(spark, d):
@@ -310,7 +315,7 @@ def filing_window(spark, d):
     anchors = structure.anchor_pages(q, structure.concept_pages(words, xbrl.concept_pages(lake.tagged)))
     w = retrieval.retrieve(q, lake.passages, structure.section_pages(q, structure.sections(lake.pages)), anchors,
                            stored(bm25.term_stats(lake.passages), "term-stats"))
-    return w.select("question_id", "passage_id", "page", "position", F.round("score", 6).alias("score"), "reserved", "topped_up")
+    return w.select("question_id", "passage_id", "page", "position", _shown("score").alias("score"), "reserved", "topped_up")
 
 
 # --- verification
@@ -521,7 +526,7 @@ def retrieval_auc(spark, d):
 
 
 def threshold_curve(spark, d):
-    return evaluate.thresholds(evaluate.cumulative(_judged(spark, d), -4.0, 4.0)).withColumn("score", F.round("score", 6))
+    return evaluate.thresholds(evaluate.cumulative(_judged(spark, d), -4.0, 4.0)).withColumn("score", _shown("score"))
 
 
 CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
