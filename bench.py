@@ -19,7 +19,7 @@ from ledgerlake.session import local_session  # noqa: E402
 # One per stage: facts, metrics, segments, markup and tags, passages, questions, retrieval, gate, usage.
 HEADLINE = (
     "facts_consolidated metric_profit metric_averaged metric_direct facts_by_segment xbrl_facts facts_combined question_values "
-    "document_passages html_text question_metric bm25_top10 rrf_top10 rerank_window quote_on_page verify_answers "
+    "document_passages html_text question_metric bm25_top10 rrf_top10 quote_on_page verify_answers "
     "reconstruct_pairs usage_daily"
 ).split()
 
