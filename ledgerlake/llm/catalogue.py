@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import mixing
+from ledgerlake.llm import mixing, packing
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
     "op9_mixing": mixing.op9_mixing,
 }
 
