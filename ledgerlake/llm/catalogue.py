@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import mixing, packing
+from ledgerlake.llm import mixing, nearcopies, packing
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
+    "op7_near_copies": nearcopies.op7_near_copies,
     "op9_mixing": mixing.op9_mixing,
 }
 
