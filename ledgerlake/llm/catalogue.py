@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import mixing, nearcopies, packing
+from ledgerlake.llm import mixing, nearcopies, packing, quality
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
+    "op4_quality": quality.op4_quality,
     "op7_near_copies": nearcopies.op7_near_copies,
     "op9_mixing": mixing.op9_mixing,
 }
