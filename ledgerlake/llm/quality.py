@@ -16,15 +16,14 @@ from ledgerlake.llm.common import documents, stored
 
 LEAST_WORDS = 50
 REPEATED_PERCENT = 50
-TREES = 100
+TREES = 200
 SAMPLE = 256  # rows of a tree
 KEPT_SHARE = 0.99  # of the labelled good documents that the threshold has to keep
 BINS = 10_000
 
-_BLANKS, _SYMBOLS, _DIGITS = b" \t\n\v\f\r", b"#*$%&|<>", b"0123456789"
-_UPPER, _ENDS, _MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".!?", b"!?:;(){}[]/\\=_+-\"'"
+_BLANKS, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_digits", "n_upper", "n_ends", "n_marks", "n_bytes")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _repeated(words: list[bytes]) -> int:
@@ -51,10 +50,7 @@ def counts(text: str | None) -> tuple[int, ...]:
     words = raw.split()
     without = lambda chars: len(raw) - len(raw.translate(None, chars))
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    return (
-        len(words), len(text) - without(_BLANKS), without(_SYMBOLS), len(lines) - len(set(lines)), _repeated(words), len(lines),
-        len(set(words)), without(_DIGITS), without(_UPPER), without(_ENDS), without(_MARKS), len(raw),
-    )
+    return len(words), len(text) - without(_BLANKS), without(_SYMBOLS), len(lines) - len(set(lines)), _repeated(words)
 
 
 @F.pandas_udf(T.StructType([T.StructField(x, T.LongType()) for x in COUNTS]))
@@ -63,13 +59,11 @@ def count_rules(text: pd.Series) -> pd.DataFrame:
 
 
 def features(rows: pd.DataFrame) -> np.ndarray:
-    """Statistics of the rules that do not grow with the length of a text."""
+    """Statistics of the rules that do not grow with the length of a text. Few and telling ones: a split is drawn among all."""
     c = {x: rows[x].to_numpy("float64") for x in COUNTS}
-    words, lines, size = np.maximum(c["n_words"], 1), np.maximum(c["n_lines"], 1), np.maximum(c["n_bytes"], 1)
+    words, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
     return np.column_stack([
-        c["word_chars"] / words, np.sqrt(c["n_symbols"] / size), c["n_dup_lines"] / lines, c["n_repeat_words"] / words,
-        np.sqrt(c["n_digits"] / size), np.sqrt(c["n_upper"] / size), c["n_ends"] / words, np.sqrt(c["n_marks"] / size),
-        np.log1p(c["n_words"] / lines), np.log1p(c["n_distinct"]) / np.log1p(words),
+        c["word_chars"] / words, np.sqrt(c["n_symbols"] / chars), np.log1p(c["n_symbols"] / words), c["n_repeat_words"] / words,
     ])
 
 
@@ -139,8 +133,8 @@ def judged(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None,
     """The rows of `docs` (or these `columns` of them) with COUNTS, base_failed, anomaly and kept.
 
     base_failed: fewer than 50 words, or more than half of the words inside repeated three-word windows. The forest is
-    grown on `trees` x `sample` documents labelled good (quality 1), those with the smallest digests of their id: a
-    bounded sample, 25 600 by default. Scores cover all documents, and the threshold is set from all labelled ones
+    grown on `trees` x `sample` labelled documents, those with the smallest digests of their id: a bounded sample,
+    51 200 by default. Scores cover all documents, and the threshold is set from all labelled ones
     that pass the base rules, counted by score bin. kept is false if base_failed or the score reaches the threshold.
 
     A null text counts as empty and fails; a document without a label is judged like any other; labels that are null
@@ -154,7 +148,7 @@ def judged(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None,
     rows = stored(rows.withColumn("base_failed", failed), "rules")
     labelled = labels.select(F.col("doc_id").alias("_id"), "quality").where("quality in (0, 1)").distinct()
     passing = rows.where("not base_failed").select("doc_id", "_rules.*").join(labelled, F.col("doc_id") == F.col("_id"))
-    drawn = passing.where("quality = 1").orderBy(F.md5(F.col("doc_id").cast("string")), *COUNTS).limit(trees * sample)
+    drawn = passing.orderBy(F.md5(F.col("doc_id").cast("string")), *COUNTS).limit(trees * sample)
     grown = grow(features(drawn.select(*COUNTS).toPandas()), trees, sample)
     forest = rows.sparkSession.sparkContext.broadcast(grown)
 
