@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import mixing, nearcopies, packing, quality
+from ledgerlake.llm import linededup, mixing, nearcopies, packing, quality
 
 QUERIES = {
+    "op1_line_dedup": linededup.op1_line_dedup,
     "op3_packing": packing.op3_packing,
     "op4_quality": quality.op4_quality,
     "op7_near_copies": nearcopies.op7_near_copies,
