@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import linededup, mixing, nearcopies, packing, quality
+from ledgerlake.llm import linededup, mixing, nearcopies, packing, quality, topk
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op3_packing": packing.op3_packing,
     "op4_quality": quality.op4_quality,
+    "op5_topk": topk.op5_topk,
     "op7_near_copies": nearcopies.op7_near_copies,
     "op9_mixing": mixing.op9_mixing,
 }
 
 SQL = {
+    "op5_topk": topk.SQL,
     "op9_mixing": mixing.SQL,
 }
