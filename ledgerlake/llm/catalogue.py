@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import linededup, mixing, nearcopies, packing, quality, topk
+from ledgerlake.llm import linededup, mixing, nearcopies, packing, quality, secrets, topk
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_topk": topk.op5_topk,
     "op7_near_copies": nearcopies.op7_near_copies,
     "op9_mixing": mixing.op9_mixing,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 SQL = {
