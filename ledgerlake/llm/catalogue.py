@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import linededup, mixing, nearcopies, packing, quality, secrets, topk
+from ledgerlake.llm import linededup, mixing, nearcopies, packing, quality, secrets, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_topk": topk.op5_topk,
     "op7_near_copies": nearcopies.op7_near_copies,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": secrets.op10_secrets,
 }
