@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import linededup, mixing, nearcopies, packing, quality, secrets, topk, toxicity
+from ledgerlake.llm import linededup, mixing, nearcopies, packing, quality, secrets, sharding, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op3_packing": packing.op3_packing,
     "op4_quality": quality.op4_quality,
     "op5_topk": topk.op5_topk,
+    "op6_sharding": sharding.op6_sharding,
     "op7_near_copies": nearcopies.op7_near_copies,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
