@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import linededup, mixing, nearcopies, packing, quality, secrets, sharding, topk, toxicity
+from ledgerlake.llm import licences, linededup, mixing, nearcopies, packing, quality, secrets, sharding, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
+    "op2_licences": licences.op2_licences,
     "op3_packing": packing.op3_packing,
     "op4_quality": quality.op4_quality,
     "op5_topk": topk.op5_topk,
