@@ -200,7 +200,7 @@ def notices(text: str | None, coverage: float = COVERAGE, gap: int = GAP) -> lis
             run = _notice(align(a, words[lo:hi]), gap)
             if run:  # a word far off may have been an anchor: look again at the close surroundings
                 near = max(lo, lo + run[0][1] - len(a))
-                again = _notice(align(a, words[near : lo + run[-1][1] + len(a)]), gap)
+                again = _notice(align(a, words[near : min(hi, lo + run[-1][1] + len(a))]), gap)
                 run = max(run, [(i, j + near - lo) for i, j in again], key=len)
             if len(run) < coverage * len(a):
                 continue
