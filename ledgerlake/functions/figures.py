@@ -72,9 +72,8 @@ def printed_forms(value: Column) -> Column:
 
 
 def figure_lines(page_text: Column) -> Column:
-    """The lines of a page that can show a figure: not blank, not overlong, with a digit. Made once per page."""
-    lines = F.transform(F.filter(F.split(page_text, "\n"), lambda s: s.rlike("[0-9]")), strip)
-    return F.filter(lines, lambda s: F.length(s) <= 400)
+    """The lines of a page that can show a figure: not blank, with a digit. Made once per page."""
+    return F.transform(F.filter(F.split(page_text, "\n"), lambda s: s.rlike("[0-9]")), strip)
 
 
 def quote_line(lines: Column, value: Column) -> Column:

@@ -76,11 +76,8 @@ def locations(facts: DataFrame) -> DataFrame:
 
 def prior_year(best: DataFrame) -> DataFrame:
     """Each figure beside the same concept one fiscal year earlier; a gap gives null."""
-    opening = best.select(
-        "filing_id", "concept_key", (F.col("fiscal_year") + 1).alias("fiscal_year"),
-        F.col("value").alias("prior_value"),
-    )
-    return best.join(opening, ["filing_id", "concept_key", "fiscal_year"], "left")
+    before = Window.partitionBy("filing_id", "concept_key").orderBy("fiscal_year").rangeBetween(-1, -1)
+    return best.withColumn("prior_value", F.max("value").over(before))
 
 
 def filing_summary(facts: DataFrame) -> DataFrame:

@@ -85,12 +85,13 @@ def session_titles(messages: DataFrame) -> DataFrame:
     )
 
 
-def search(messages: DataFrame, sessions: DataFrame, user: int | None, text: str, limit: int = 30) -> DataFrame:
-    """The newest messages of one's own live sessions whose question or answer contains the text, in any case."""
+def search(messages: DataFrame, sessions: DataFrame, user: int | None, text: str, limit: int | None = None) -> DataFrame:
+    """The messages, newest first, of one's own live sessions whose question or answer contains the text, in any case; all of them unless a limit is given."""
     needle = F.lit("%" + text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%")
     hit = F.call_function("ilike", F.col("question"), needle) | F.call_function("ilike", F.col("answer"), needle)
     own = sessions.where(owned_by(F.lit(user).cast("bigint")) & F.col("deleted_at").isNull()).select("session_id", "filing_id")
-    return messages.where(hit).join(own, "session_id").orderBy(F.desc("message_id"), F.desc("session_id")).limit(limit)
+    found = messages.where(hit).join(own, "session_id").orderBy(F.desc("message_id"), F.desc("session_id"))
+    return found if limit is None else found.limit(limit)
 
 
 def stored_citations(messages: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def statement_pages(pages: DataFrame) -> DataFrame:
 
 
 def unit_scale(text: Column) -> Column:
-    unit = F.lower(F.regexp_extract(F.substring(text, 1, 2000), UNIT, 1))
+    unit = F.lower(F.regexp_extract(text, UNIT, 1))
     return F.coalesce(F.try_element_at(constant(UNIT_SCALE, "map<string,double>"), unit), F.lit(1.0))
 
 

@@ -161,8 +161,9 @@ def _metrics(keys: list[str]) -> str:
 SQL: dict[str, str] = {
     "facts_consolidated": f"WITH {FACTS} SELECT fid filing_id, c concept_key, fy fiscal_year, v AS value, page FROM f",
     "facts_latest": f"WITH {FACTS} SELECT fid filing_id, c concept_key, max(fy) fiscal_year, arg_max(v, fy) AS value FROM f GROUP BY fid, c",
-    "facts_prior_year": f"""WITH {FACTS} SELECT a.fid filing_id, a.c concept_key, a.fy fiscal_year, a.v AS value, b.v prior_value
-        FROM f a LEFT JOIN f b ON a.fid = b.fid AND a.c = b.c AND b.fy = a.fy - 1""",
+    "facts_prior_year": f"""WITH {FACTS} SELECT fid filing_id, c concept_key, fy fiscal_year, v AS value,
+            CASE WHEN lag(fy) OVER w = fy - 1 THEN lag(v) OVER w END prior_value
+        FROM f WINDOW w AS (PARTITION BY fid, c ORDER BY fy)""",
     "facts_by_segment": f"WITH {MEMBERS} SELECT fid filing_id, c concept_key, fy fiscal_year, member, v AS value FROM m WHERE axis LIKE '%BusinessSegments%'",
     "facts_by_geography": f"WITH {MEMBERS} SELECT fid filing_id, c concept_key, fy fiscal_year, member, v AS value FROM m WHERE axis LIKE '%Geographical%'",
     "filing_years": f"""WITH {FACTS} SELECT fid filing_id, count(*) n_facts, count(DISTINCT c) n_concepts,
@@ -497,7 +498,7 @@ SQL["session_list"] = f"""WITH {_PAIRS}, c AS (SELECT DISTINCT conv_id FROM conv
     FROM c LEFT JOIN ms ON session_id = conv_id WHERE conv_id % 11 <> 3 GROUP BY conv_id"""
 SQL["session_title"] = rf"""WITH {_PAIRS} SELECT session_id, substr(regexp_replace(arg_min(question, message_id), '^\s+|\s+$', '', 'g'), 1, 60) title FROM ms GROUP BY session_id"""
 SQL["history_search"] = f"""WITH {_PAIRS} SELECT session_id, message_id, question FROM ms WHERE user_id IS NULL AND session_id % 11 <> 3
-    AND (question ILIKE '%TION%' OR answer ILIKE '%TION%') ORDER BY message_id DESC, session_id DESC LIMIT 30"""
+    AND (question ILIKE '%TION%' OR answer ILIKE '%TION%')"""
 SQL["citations_fallback"] = f"""WITH {_PAIRS} SELECT session_id, message_id, CASE WHEN message_id % 4 = 0 THEN 9 WHEN substr(question, 1, 5) <> '' THEN 2 END page,
     CASE WHEN message_id % 4 = 0 THEN substr(answer, 1, 5) ELSE nullif(substr(question, 1, 5), '') END AS "quote" FROM ms"""
 _STATUS = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'parsing' WHEN 'click' THEN 'indexing' WHEN 'purchase' THEN 'ready' ELSE 'failed' END"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -35,9 +36,13 @@ def local_session(cores: int = 8, app: str = "ledgerlake", memory: str = "8g") -
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is absent, as in local tests, is a machine-local folder used.
+    Only a session of one machine, as in tests, may leave the setting out; on a cluster a local folder would lose rows.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root(spark.sparkContext.applicationId)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_root(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

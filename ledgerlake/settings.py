@@ -28,18 +28,13 @@ MIN_IDF = 1e-4
 
 # structure
 STATEMENT_THRESHOLD = 0.6
-MAX_PAGES_PER_CONCEPT = 3
 MAX_LABEL_OFFSET = 40
 MIN_AGREEING_PAGES = 3
 TOC_ITEM_COUNT = 4
-HEADING_WINDOW = 3000
 
 # verification
 RECONSTRUCT_REL = 0.003
 RECONSTRUCT_ABS = 0.015
-MAX_RECONSTRUCT_POOL = 12
-MAX_QUOTE_LINE = 400
-MAX_ALTERNATE_LOCATIONS = 2
 
 # answers
 EXCERPT_CHARS = 240
