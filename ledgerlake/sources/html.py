@@ -1,11 +1,15 @@
-"""Filing markup to pages: scan, decode, split, text, tables, display markup. All of it JVM-side expressions."""
+"""Filing markup to pages: scan, decode, split, text, tables, display markup. Expressions, but for the sanitiser."""
 
 from __future__ import annotations
 
+import html
 import html.entities
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake import settings
 from ledgerlake.functions.text import bind, rx, string_map, strip
@@ -188,19 +192,59 @@ def readable_split(page_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-# The rest of a tag from here, so an attribute is only removed inside one; quoted values may hold angle brackets.
-_IN_TAG = r"""(?=(?:[^<>"']|"[^"]*"|'[^']*')*>)"""
-_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s>"']+)"""
+# Possessive patterns: no step is ever taken back, so the time is linear and nothing recurses, whatever the markup.
+_TOKEN = re.compile(r"""<!--(?s:.*?)-->|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^"'>]++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""")
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?P<name>[^\s/>=]++)(?:\s*+=\s*+(?P<value>"[^"]*+"|'[^']*+'|[^\s>]*+))?""")
+_RAW = {name: re.compile(rf"</{name}[^>]*+>", re.I) for name in ("script", "iframe")}
+_UNSAFE, _URLS = frozenset(UNSAFE_TAGS.split("|")), frozenset([*URL_ATTRIBUTES.split("|"), "formaction", "xlink:href"])
+_SCHEMES, _EMPTY = tuple(UNSAFE_SCHEMES.split("|")), frozenset(("embed", "link", "meta", "base"))
+
+
+def _safe_attribute(m: re.Match) -> str:
+    name, value = m["name"].lower(), m["value"] or ""
+    if name.startswith("on") or name == "srcdoc":
+        return ""
+    if name in _URLS:
+        plain = re.sub(r"[\x00-\x20]+", "", html.unescape(value.strip("\"'"))).lower()
+        return "" if plain.startswith(_SCHEMES) else m[0]
+    return m[0]
+
+
+def clean(markup: str | None) -> str | None:
+    """Markup safe to display. An unsafe element goes with its content, or alone where it is never closed."""
+    if markup is None:
+        return None
+    out: list[str] = []
+    opened: list[tuple[str, int]] = []
+    at, end_of_tags = 0, markup.rfind(">") + 1
+    while m := _TOKEN.search(markup, at, end_of_tags):
+        out.append(markup[at : m.start()])
+        at, name = m.end(), (m["name"] or "").lower()
+        if not name:
+            out.append(m[0])
+        elif name not in _UNSAFE:
+            out.append(m[0] if m["close"] else f"<{m['name']}{_ATTRIBUTE.sub(_safe_attribute, m['rest'])}>")
+        elif m["close"]:
+            found = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == name), None)
+            if found is not None:
+                del out[opened[found][1] :], opened[found:]
+        elif name in _RAW:
+            end = _RAW[name].search(markup, at)
+            at = end.end() if end else len(markup) if name == "script" else at
+        elif name not in _EMPTY:
+            opened.append((name, len(out)))
+    out.append(markup[at:])
+    return "".join(out)
 
 
 def sanitised(fragment: Column) -> Column:
-    """Markup safe to display: no active tags, event handlers or script URLs."""
-    out = F.regexp_replace(fragment, rf"(?is)<({UNSAFE_TAGS})\b[^>]*>.*?</\1\s*>", "")
-    out = F.regexp_replace(out, rf"(?is)</?(?:{UNSAFE_TAGS})\b[^>]*>", "")
-    out = F.regexp_replace(out, rf"(?i)\s+on[a-z]+\s*=\s*{_VALUE}{_IN_TAG}", "")
-    return F.regexp_replace(
-        out, rf"""(?i)\s+(?:{URL_ATTRIBUTES})\s*=\s*(?:"\s*(?:{UNSAFE_SCHEMES})[^"]*"|'\s*(?:{UNSAFE_SCHEMES})[^']*'"""
-             rf"""|(?:{UNSAFE_SCHEMES})[^\s>]*){_IN_TAG}""", "")
+    """Markup safe to display: no active tags, event handlers or script URLs. One pass per page on Arrow batches."""
+
+    def cleaned(pages: pd.Series) -> pd.Series:
+        return pages.map(clean)
+
+    cleaned.__annotations__ = {"pages": pd.Series, "return": pd.Series}
+    return F.pandas_udf(cleaned, T.StringType())(fragment)
 
 
 def display_pages(filings: DataFrame, html_col: str = "html") -> DataFrame:

@@ -50,6 +50,16 @@ def test_sanitise_removes_active_content(spark):
     assert row.page_html == '<p class="k">hi</p><a>l</a><img alt=\'ok\'><a>m</a><a href="http://ok">n</a>'
 
 
+def test_sanitise_odd_markup():
+    assert html.clean('<svg/onload=alert(1)><a href="java&#115;cript:x">a</a><a href="java\nscript:x">b</a>') == "<svg><a>a</a><a>b</a>"
+    assert html.clean('<img alt=a"b onerror=x>t') == '<img alt=a"b>t'
+    assert html.clean("a<form><b>c</b><form>d</form>e</form>f<object>g") == "afg"
+    assert html.clean("x<script>if (a<b) '</p>'</SCRIPT >y<script>z<img src=q>") == "xy"
+    assert html.clean("<!-- <p onclick=x> --><p title='1 > 0' onclick='a'>ok") == "<!-- <p onclick=x> --><p title='1 > 0'>ok"
+    long = "<p>" + " one=1 " * 150_000 + "<" * 50_000 + "</p>"
+    assert html.clean(long) == long and html.clean(None) is None
+
+
 def test_uploads(spark):
     files = spark.createDataFrame(
         [("/x/a.htm", 5), ("/x/b.exe", 5), ("/x/c.HTML", 0), ("/x/d.pdf", 200 << 20), ("/x/e.pdf", 9)], "path string, length long"
@@ -68,76 +78,42 @@ def test_grid_text(spark):
     assert got == {1: "a | b\nc | d", 2: None, 3: None}
 
 
-# --- passages, checked against a plain restatement of the rules
-
-def _prose(block):
-    parts, cur = [], ""
-    for s in re.split(r"(?<=[.!?])\s+", block):
-        whole = (len(s) - 1) // 1600 if len(s) > 1600 else 0
-        parts += [s[i * 1600:(i + 1) * 1600] for i in range(whole)]
-        s = s[whole * 1600:]
-        joined = (cur + " " + s).strip()
-        if cur and len(joined) > 900:
-            parts.append(cur)
-            cur = s
-        else:
-            cur = joined
-    return parts + ([cur] if cur else [])
-
-
-def _table(block):
-    rows = [r for r in block.split("\n")[1:] if r.strip()]
-    if len(rows) < 3:
-        return [block]
-    groups, size = [[]], 0
-    for r in rows[1:]:
-        if groups[-1] and size + len(r) > 900:
-            groups.append([])
-            size = 0
-        groups[-1].append(r)
-        size += len(r) + 1
-    return ["\n".join(["[TABLE]", rows[0], *g]) for g in groups]
-
-
-def _chunks(page):
-    head, *tables = page.split("[TABLE]")
-    todo = [p.strip() for p in re.split(r"\n\s*\n", head) if p.strip()] + ["[TABLE]\n" + t.strip() for t in tables]
-    out, cur = [], ""
-    for b in todo:
-        if len(b) >= 1600:
-            out += [cur] if cur else []
-            cur = ""
-            out += [b] if len(b) <= 2000 else (_table(b) if b.startswith("[TABLE]") else _prose(b))
-        elif cur and len(cur) + 2 + len(b) > 900:
-            out.append(cur)
-            cur = b
-        else:
-            cur = f"{cur}\n\n{b}" if cur else b
-    return out + ([cur] if cur else [])
-
-
-def test_passages_match_brute_force(spark):
+# --- passages: worked cases, and what has to hold for any page
+
+def _passages(spark, pages):
+    rows = spark.createDataFrame([("f", i + 1, p) for i, p in enumerate(pages)], "filing_id string, page int, page_text string")
+    got = {i + 1: [] for i in range(len(pages))}
+    for r in passages.passages(rows).orderBy("page", "ordinal").collect():
+        got[r.page].append(r.text)
+    return list(got.values())
+
+
+def test_passages_worked_cases(spark):
+    long = " ".join(f"Sentence number {i} has some words." for i in range(60))
+    table = "[TABLE]\nhead | x\n" + "\n".join(f"row {i} | {i * 7}" for i in range(300))
+    blank, short, pair, prose, parts, mixed = _passages(spark, [" \n ", "one", "one\n\ntwo", long, table, "intro\n\n[TABLE]\na | 1\nb | 2"])
+    assert blank == [] and short == ["one"] and pair == ["one\n\ntwo"] and mixed == ["intro\n\n[TABLE]\na | 1\nb | 2"]
+    assert len(prose) > 1 and " ".join(prose) == long
+    assert len(parts) > 1 and all(p.startswith("[TABLE]\nhead | x\n") for p in parts)
+
+
+def test_passages_lose_nothing(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9)))
     sentence = lambda n: " ".join(word() for _ in range(n)) + rng.choice(".!?")
-    pages = [" \n ", "x" * 5000, "[TABLE]\n" + "\n".join(f"row {i} | {i * 7}" for i in range(300)), "[TABLE]\na | " + "b" * 2500]
-    for _ in range(40):
-        parts = []
-        for _ in range(rng.randint(1, 6)):
-            kind = rng.random()
-            if kind < 0.5:
-                parts.append(" ".join(sentence(rng.randint(1, 40)) for _ in range(rng.randint(1, 20))))
-            elif kind < 0.7:
-                parts.append("[TABLE]\n" + "\n".join(f"{word()} | {rng.randint(1, 10**6)}" for _ in range(rng.randint(1, 150))))
-            else:
-                parts.append(word() * rng.randint(1, 700))
+    pages = ["x" * 5000]
+    for _ in range(30):
+        parts = [" ".join(sentence(rng.randint(1, 40)) for _ in range(rng.randint(1, 20))) for _ in range(rng.randint(1, 5))]
+        parts += ["[TABLE]\n" + "\n".join(f"{word()} | {rng.randint(1, 10**6)}" for _ in range(rng.randint(1, 150))) for _ in range(rng.randint(0, 2))]
         pages.append("\n\n".join(parts))
-    rows = spark.createDataFrame([("f", i + 1, p) for i, p in enumerate(pages)], "filing_id string, page int, page_text string")
-    got = {}
-    for r in passages.passages(rows).orderBy("page", "ordinal").collect():
-        got.setdefault(r.page, []).append(r.text)
-    for i, page in enumerate(pages):
-        assert got.get(i + 1, []) == _chunks(page), i
+    for page, got in zip(pages, _passages(spark, pages)):
+        assert all(p.strip() and len(p) <= 2000 for p in got)
+        prose = lambda text: re.sub(r"\s+", "", text.split("[TABLE]")[0])
+        assert "".join(map(prose, got)) == prose(page)  # every word once, in order
+        rows = lambda text: [r for t in text.split("[TABLE]\n")[1:] for r in t.split("\n") if r.strip()]
+        shown = [r for p in got for r in rows(p)]
+        assert set(shown) == set(rows(page))
+        assert [r for r in dict.fromkeys(shown)] == [r for r in dict.fromkeys(rows(page))]
 
 
 # --- tags
