@@ -66,12 +66,14 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
 
 
 def session_list(sessions: DataFrame, messages: DataFrame, filing: str | None = None) -> DataFrame:
-    """Live sessions with their message counts; a session without messages counts zero."""
+    """Live sessions with their message counts, most recent first; a session without messages counts zero."""
     live = sessions.where("deleted_at IS NULL")
     if filing is not None:
         live = live.where(F.col("filing_id") == filing)
     counts = messages.groupBy("session_id").agg(F.count("*").alias("message_count"))
-    return live.join(counts, "session_id", "left").na.fill(0, ["message_count"])
+    listed = live.join(counts, "session_id", "left").na.fill(0, ["message_count"])
+    recent = [c for c in ("updated_at", "created_at") if c in listed.columns]
+    return listed.orderBy(*[F.desc_nulls_last(c) for c in recent], F.desc("session_id"))
 
 
 def session_messages(messages: DataFrame, session: int) -> DataFrame:

@@ -135,25 +135,28 @@ def ingest_batch(files: DataFrame, batch_id: int, store: str) -> None:
     Content already taken in by an earlier batch is skipped.
     """
     spark = files.sparkSession
+
+    def kept(name: str, rows: DataFrame) -> DataFrame:
+        path = f"{store}/{name}/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
     accepted, rejected = html.admit(files)
-    rejected.select("path", "error").write.mode("overwrite").parquet(f"{store}/rejected/batch={batch_id}")
-    hashed = accepted.select(
-        html.content_hash(F.col("content")).alias("filing_id"), "original_name", html.decode_text(F.col("content")).alias("html")
-    ).where(~F.lower("original_name").endswith(".pdf")).dropDuplicates(["filing_id"])
+    is_pdf = F.lower("original_name").endswith(".pdf")
+    unread = accepted.where(is_pdf).select("path", F.lit("PDF is not read here: bring its pages as a table").alias("error"))
+    kept("rejected", rejected.select("path", "error").unionByName(unread))
+    decoded = accepted.where(~is_pdf).select(
+        html.content_hash(F.col("content")).alias("filing_id"), "path", "original_name", html.decode_text(F.col("content")).alias("html"))
+    # Of files with the same content the one with the first path counts, in every run.
+    same = decoded.groupBy("filing_id").agg(F.min_by(F.struct("original_name", "html"), "path").alias("file")).select("filing_id", "file.*")
     if batch_id > 0:
-        hashed = hashed.join(_earlier(spark, store, batch_id), "filing_id", "left_anti")
-    pages = html.pages(hashed)
-    tagged = xbrl.tagged_facts(hashed)
-    tables = {
-        "pages": pages,
-        "passages": passages.passages(pages),
-        "facts": facts.combine(xbrl.to_facts(tagged), statements.statement_facts(pages)),
-    }
-    for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{store}/{name}/batch={batch_id}")
-    hashed.select("filing_id", "original_name", F.lit("ready").alias("status")).write.mode("overwrite").parquet(
-        f"{store}/filings/batch={batch_id}"
-    )
+        same = same.join(_earlier(spark, store, batch_id), "filing_id", "left_anti")
+    arrived = kept("markup", same)  # read, decoded and hashed once
+    pages = kept("pages", html.pages(arrived))
+    tagged = kept("tagged", xbrl.tagged_facts(arrived))
+    kept("passages", passages.passages(pages))
+    kept("facts", facts.combine(xbrl.to_facts(tagged), statements.statement_facts(pages)))
+    kept("filings", arrived.select("filing_id", "original_name", F.lit("ready").alias("status")))
 
 
 def ingest_stream(spark: SparkSession, incoming: str, store: str, progress: str):

@@ -13,17 +13,18 @@ def test_ingest_stream_matches_batch_and_skips_repeats(spark, tmp_path):
     incoming.mkdir()
     (incoming / "a.htm").write_text("<p>one</p><hr><p>two words.</p>")
     (incoming / "b.exe").write_text("nope")
+    (incoming / "d.pdf").write_text("%PDF")
     jobs.ingest_stream(spark, str(incoming), store, str(tmp_path / "p")).start().awaitTermination()
     (incoming / "c.html").write_text("<p>three</p>")
     (incoming / "copy.htm").write_text("<p>one</p><hr><p>two words.</p>")
     jobs.ingest_stream(spark, str(incoming), store, str(tmp_path / "p")).start().awaitTermination()
     got = spark.read.parquet(f"{store}/passages")
     files = html.scan(spark, str(incoming))[0]
-    batch = files.select(html.content_hash("content").alias("filing_id"), html.decode_text(files.content).alias("html")).dropDuplicates(["filing_id"])
+    batch = files.where("original_name not like '%.pdf'").select(html.content_hash("content").alias("filing_id"), html.decode_text(files.content).alias("html")).dropDuplicates(["filing_id"])
     want = passages.passages(html.pages(batch))
     assert sorted(r.passage_id for r in got.collect()) == sorted(r.passage_id for r in want.collect())
     assert spark.read.parquet(f"{store}/filings").count() == 2
-    assert spark.read.parquet(f"{store}/rejected").count() == 1
+    assert sorted(r.path.rsplit("/")[-1] for r in spark.read.parquet(f"{store}/rejected").collect()) == ["b.exe", "d.pdf"]
 
 
 def test_stuck_filings(spark, tmp_path):
