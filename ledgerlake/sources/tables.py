@@ -8,8 +8,3 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores where the scan gives fewer tasks than that; a large input is left as it is scanned."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
