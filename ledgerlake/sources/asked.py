@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.sources.tables import spread, table
+from ledgerlake.sources.tables import table
 
 # {n} is the filer, {y} a fiscal year and {z} the year two later.
 WORDINGS = [
@@ -42,7 +42,7 @@ PER_FILER = 4
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     """questions(question_id, filing_id, question): four per customer, wordings and years taken in turn."""
     wordings = F.array(*[F.lit(w) for w in WORDINGS])
-    filers = spread(table(spark, folder, "customer").select("c_custkey", "c_name"))
+    filers = table(spark, folder, "customer").select("c_custkey", "c_name")
     rows = filers.select("c_custkey", "c_name", F.explode(F.sequence(F.lit(0), F.lit(PER_FILER - 1))).alias("k"))
     w = F.get(wordings, F.pmod(F.col("c_custkey") * PER_FILER + F.col("k"), F.lit(len(WORDINGS))).cast("int"))
     year = F.lit(1995) + F.pmod(F.col("c_custkey") + F.col("k"), F.lit(6))
