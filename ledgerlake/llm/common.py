@@ -36,7 +36,7 @@ def stored(rows: DataFrame, purpose: str) -> DataFrame:
     spark = rows.sparkSession
     path = scratch_dir(spark, purpose)
     with _shuffles_dropped(spark):
-        rows.write.parquet(path)
+        rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
