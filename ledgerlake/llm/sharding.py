@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import documents, parts, running_sum, stored
 
 SHARDS = 24
-ROUNDS = 10
+ROUNDS = SHARDS  # a round fills one shard of a large group at least; it ends as soon as nothing moves
 
 
 def _numbered(rows: DataFrame, by: str, order: str, value: str, name: str, digits: int) -> DataFrame:

@@ -141,9 +141,9 @@ def test_line_dedup_against_brute_force(spark, folder):
 
 
 def test_long_lines_vote_in_parts(spark):
-    words = [f"w{i * 7 % 1000}" for i in range(40_000)]
-    long = "".join(chr(97 + i % 7) for i in range(50_000))
-    rows = linededup.lines(spark.createDataFrame([(1, " ".join(w.replace("w", "abcdefghij"[int(w[1:]) % 10] * 3) for w in words)), (2, long)], "doc_id long, text string"))
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    words = [letters(i * 7) for i in range(40_000)]  # more different words than one part takes
+    rows = linededup.lines(spark.createDataFrame([(1, " ".join(words)), (2, "x" * 50_000)], "doc_id long, text string"))
     got = {r["line"]: r["code"] for r in linededup.simhashes(rows).collect()}
     assert got == {r["line"]: simhash(r["norm"].split(" ")) for r in rows.collect()}
 
@@ -251,7 +251,7 @@ def test_shards_are_even_and_keep_groups(spark, clashing, odd, nothing):
     where = defaultdict(set)
     for r in rows:
         where[docs[r["doc_id"]][1]].add(r["shard"])
-    assert len(where.pop("hot")) <= 10  # a third of all rows needs 8 shards
+    assert len(where.pop("hot")) <= 16  # a third of all rows needs 8 shards; those of the pairs are not driven out
     cut = sum(len(x) > 1 for x in where.values())
     assert cut <= 0.02 * len(where)
     check_shards(sharding.shard(clashing).collect(), [(r["doc_id"], r["text"]) for r in odd.collect()])
