@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,10 +32,31 @@ def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
+_recorded: ContextVar[list[str] | None] = ContextVar("recorded", default=None)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that stored() writes inside the block, for drop() once what was built on them is written."""
+    paths: list[str] = []
+    token = _recorded.set(paths)
+    try:
+        yield paths
+    finally:
+        _recorded.reset(token)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(rows: DataFrame, purpose: str) -> DataFrame:
     """The rows, written to the shared folder and read again: lineage ends here."""
     spark = rows.sparkSession
     path = scratch_dir(spark, purpose)
+    if (paths := _recorded.get()) is not None:
+        paths.append(path)
     with _shuffles_dropped(spark):
         rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

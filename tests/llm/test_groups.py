@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerlake.llm import linededup, mixing, nearcopies, quality, sharding, topk
+from ledgerlake.llm.common import stored
 from ledgerlake.llm.graph import components
 
 
@@ -263,15 +264,15 @@ def test_shards_are_even_and_keep_groups(spark, clashing, odd, nothing):
 
 def test_pipeline_against_its_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    kept = corpus_pipeline.quality_rules(spark, docs, folder)
+    kept = stored(corpus_pipeline.quality_rules(spark, docs, folder), "stage")
     judged = {r["doc_id"] for r in quality.op4_quality(spark, folder).collect() if r["kept"]}
     assert {r["doc_id"] for r in kept.collect()} == judged and kept.columns == docs.columns
-    lines = corpus_pipeline.line_dedup(spark, kept, folder)
+    lines = stored(corpus_pipeline.line_dedup(spark, kept, folder), "stage")
     assert lines.columns == docs.columns and lines.count() == kept.count()
-    one = corpus_pipeline.near_dedup(spark, lines, folder)
+    one = stored(corpus_pipeline.near_dedup(spark, lines, folder), "stage")
     codes = {nearcopies.fingerprint(r["text"] or "") for r in lines.collect()}
     assert one.columns == docs.columns and one.count() == len({x for c in codes for x in [close_classes(sorted(codes)).find(c)]})
-    mixed = corpus_pipeline.mixing_to_weights(spark, one, folder)
+    mixed = stored(corpus_pipeline.mixing_to_weights(spark, one, folder), "stage")
     assert mixed.columns == docs.columns and max(Counter(r["doc_id"] for r in mixed.collect()).values()) <= 2
     packed = corpus_pipeline.run(spark, folder).collect()
     assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r["doc_id"] for r in mixed.collect())
