@@ -149,6 +149,11 @@ def test_long_lines_vote_in_parts(spark):
     assert got == {r["line"]: simhash(r["norm"].split(" ")) for r in rows.collect()}
 
 
+def test_lines_of_figures_repeat(spark):
+    docs = spark.createDataFrame([(1, "12.5 | 2020 | -7\n---"), (2, "12.5 | 2020 | -7\n---"), (3, "3.25 | 1999 | -81")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()} == {1: "12.5 | 2020 | -7\n---", 2: "---", 3: ""}
+
+
 def test_line_dedup_odd_rows(odd, clashing, nothing):
     rows = linededup.dedup_lines(clashing).collect()
     text = defaultdict(list)
