@@ -154,6 +154,43 @@ def test_lines_of_figures_repeat(spark):
     assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()} == {1: "12.5 | 2020 | -7\n---", 2: "---", 3: ""}
 
 
+def test_figures_and_typos_are_near(spark):
+    ten = "several people walked slowly through another narrow street towards evening"
+    same = [
+        ("12.5 | 2020 | -7", "12.5 | 2020 | -7"), ("Total revennue", "Total revenue"), ("note 7", "note 31"),
+        (ten, ten.replace("people", "peaple").replace("narrow", "narow").replace("towards", "tovards")),
+        ("the board met on monday to approve the annual accounts", "the board met on friday to approve the annual accounts"),
+    ]
+    other = [("ordinary shares", "preference shares"), ("red green blue", "one two three four")]
+    docs = spark.createDataFrame([(2 * i + k, line) for i, pair in enumerate(same + other) for k, line in enumerate(pair)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
+    assert [got[2 * i + 1] == "" for i in range(len(same + other))] == [True] * len(same) + [False] * len(other)
+    assert all(got[2 * i] == a for i, (a, _) in enumerate(same + other))
+
+
+def test_recall_of_near_lines(spark):
+    """Against all pairs by edit similarity alone, with lines that had one word or a twentieth of their characters changed."""
+    random = np.random.default_rng(11)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    norm = sorted({r["norm"] for r in linededup.lines(docs).collect() if 8 <= len(r["norm"]) <= 400})
+    lines = [norm[i] for i in random.choice(len(norm), 700, replace=False)]
+    for line in lines[:200]:
+        words, signs = line.split(" "), list(line)
+        words[random.integers(len(words))] = "exchanged"
+        for at in random.choice(len(signs), max(1, len(signs) // 20), replace=False):
+            signs[at] = chr(97 + random.integers(26))
+        lines += [" ".join(words), "".join(signs)]
+    rows = linededup.lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    texts = stored(rows.select("line", "norm").distinct(), "texts")
+    pairs = texts.join(texts.toDF("other", "text"), (F.col("line") > F.col("other")) & (F.abs(F.length("norm") - F.length("text")) <= 0.2 * F.greatest(F.length("norm"), F.length("text")) + 1e-9))
+    most = F.floor(0.2 * F.greatest(F.length("norm"), F.length("text")) + 1e-9).cast("int")
+    near = pairs.withColumn("most", most).where("levenshtein(norm, text, most) >= 0").select("line", "other").collect()
+    classes = {r["node"]: r["component"] for r in linededup.line_classes(rows).collect()}
+    found = sum(a in classes and classes[a] == classes.get(b) for a, b in near)
+    print("recall of near lines", found, len(near))
+    assert len(near) > 300 and found >= 0.95 * len(near)
+
+
 def test_line_dedup_odd_rows(odd, clashing, nothing):
     rows = linededup.dedup_lines(clashing).collect()
     text = defaultdict(list)
