@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlake import settings
 from ledgerlake.functions.figures import cell_values
 from ledgerlake.functions.ontology import CONCEPTS
-from ledgerlake.functions.text import any_of, constant, rx, string_map, strip
+from ledgerlake.functions.text import any_of, bind, constant, rx, string_map, strip
 
 # The phrases a statement page consists of, for reading facts.
 FACT_ITEMS = {
@@ -22,6 +22,7 @@ FACT_ITEMS = {
 UNIT = r"(?i)\(?\s*(?:amounts?\s+)?in\s+(thousands|millions|billions)"
 UNIT_SCALE = {"thousands": 1e3, "millions": 1e6, "billions": 1e9}
 YEAR = r"\b((?:19|20)\d{2})\b"
+YEAR_ROW = r"^\s*(?:19|20)\d{2}(?:[\s,]+(?:and\s+)?(?:19|20)\d{2})+\s*$"
 
 
 def completeness(text: Column, items: tuple[str, ...]) -> Column:
@@ -76,11 +77,6 @@ def unit_scale(text: Column) -> Column:
     return F.coalesce(F.try_element_at(constant(UNIT_SCALE, "map<string,double>"), unit), F.lit(1.0))
 
 
-def column_years(text: Column) -> Column:
-    found = F.array_distinct(F.regexp_extract_all(F.substring(text, 1, 1500), F.lit(rx(YEAR)), 1))
-    return F.filter(F.transform(found, lambda y: y.cast("int")), lambda y: (y > 1990) & (y < 2100))
-
-
 def _row_concept(statement: Column, label: Column) -> Column:
     """The first concept, in table order, of that statement with a pattern found in the label."""
     chain = None
@@ -90,11 +86,40 @@ def _row_concept(statement: Column, label: Column) -> Column:
     return chain
 
 
+def _years(text: Column) -> Column:
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(rx(YEAR)), 1))
+    return F.filter(F.transform(found, lambda y: y.cast("int")), lambda y: (y > 1990) & (y < 2100))
+
+
+def column_years(statement: Column, text: Column) -> Column:
+    """The years of a statement's head: of the nearest table row with a year before the first row that names a concept.
+
+    A row has cells, or is a line of two years or more and nothing else; a page whose concepts stand in no cells is read
+    line by line. If no row of the head has a year, the years are all those of the lines before. Nothing depends on how far down the page the table stands.
+    """
+    def head(all_: Column) -> Column:
+        concept = lambda s: _row_concept(statement, _label(s)).isNotNull()
+        kind = lambda s: F.when(concept(s), F.when(F.contains(s, F.lit("|")), 2).otherwise(1)).otherwise(0)
+        first = bind(F.transform(all_, kind), lambda k: F.coalesce(F.nullif(F.array_position(k, 2), F.lit(0)), F.array_position(k, 1)))
+        return bind(first.cast("int"), lambda n: F.when(n > 0, F.slice(all_, 1, n - 1)).otherwise(all_))
+
+    def of_head(before: Column) -> Column:
+        rows = F.filter(before, lambda s: F.contains(s, F.lit("|")) | s.rlike(rx(YEAR_ROW)))
+        rows = F.filter(F.transform(rows, _years), lambda y: F.size(y) > 0)
+        return F.coalesce(F.try_element_at(rows, F.lit(-1)), _years(F.array_join(before, "\n")))
+
+    return bind(bind(F.split(text, "\n"), head), of_head)
+
+
+def _label(line: Column) -> Column:
+    return F.lower(F.substring_index(strip(line), "|", 1))
+
+
 def statement_facts(pages: DataFrame) -> DataFrame:
     """facts with source 'statement': the i-th figure of a row belongs to the i-th year of the page."""
     chosen = cluster(candidates(pages, FACT_ITEMS))
     lines = chosen.select(
-        "filing_id", "page", "statement", column_years(F.col("page_text")).alias("years"),
+        "filing_id", "page", "statement", column_years(F.col("statement"), F.col("page_text")).alias("years"),
         unit_scale(F.col("page_text")).alias("scale"), F.posexplode(F.split("page_text", "\n")).alias("line_no", "line"),
     )
     row = lines.withColumn("line", strip(F.col("line"))).where("line <> ''")

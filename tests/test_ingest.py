@@ -175,6 +175,16 @@ def test_statement_facts_units_years_and_surplus(spark):
     assert len(got) == 11
 
 
+def test_statement_years_after_a_long_preamble(spark):
+    prose = "Total assets rose since 2015 as the notes explain, and net income was restated in 2017.\n"
+    table = "Total current assets | 10 | 20\nTotal assets | 30 | 40\nTotal current liabilities | 1 | 2\nAccounts payable | 3 | 4\nRetained earnings | 5 | 6\nGoodwill | 7 | 8"
+    pages = [(name, 1, prose * 60 + head + "\n" + table) for name, head in (("cells", "December 31, | 2022 | 2021"), ("years", "2022 2021"))]
+    assert all(len(text) > 5000 for *_, text in pages)
+    rows = spark.createDataFrame(pages, "filing_id string, page int, page_text string")
+    found = statements.statement_facts(rows).where("concept_key = 'assets' and value >= 30").collect()
+    assert {(r.filing_id, r.fiscal_year, r.value) for r in found if r.value < 100} == {(f, y, v) for f in ("cells", "years") for y, v in ((2022, 30.0), (2021, 40.0))}
+
+
 def test_combine_and_latest(spark):
     schema = "filing_id string, concept_key string, value double, fiscal_year int, page int, source string, instant boolean, member string, axis string, doc_pos long"
     tagged = spark.createDataFrame([("f", "revenue", 1.0, 2020, 1, "xbrl", False, "", "", 1), ("f", "cogs", 9.0, 2020, 1, "xbrl", False, "m", "a", 2)], schema)
