@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import licences, linededup, mixing, nearcopies, packing, quality, secrets, sharding, topk, toxicity
+from ledgerlake.llm import factors, licences, linededup, mixing, nearcopies, negatives, packing, quality, repair, secrets, sharding, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": secrets.op10_secrets,
+    "op11_negatives": negatives.op11_negatives,
+    "op12_factors": factors.op12_factors,
+    "op13_repair": repair.op13_repair,
 }
 
 SQL = {
     "op5_topk": topk.SQL,
     "op9_mixing": mixing.SQL,
+    "op11_negatives": negatives.SQL,
 }
