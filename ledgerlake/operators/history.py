@@ -6,7 +6,7 @@ appended rows; the state is the latest row per key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import strip
@@ -20,9 +20,24 @@ def owned_by(user: Column | None) -> Column:
     return F.col("user_id").eqNullSafe(user if user is not None else F.lit(None).cast("bigint"))
 
 
-def workspace_filings(filings: DataFrame, user: int | None, archived: bool = False) -> DataFrame:
+def workspace_filings(filings: DataFrame, archived: bool = False) -> DataFrame:
+    """The filings on one shelf of every workspace; deleted ones are on none."""
     shelf = F.col("archived_at").isNotNull() if archived else F.col("archived_at").isNull()
-    return filings.where(owned_by(F.lit(user).cast("bigint")) & F.col("deleted_at").isNull() & shelf).orderBy(F.desc("created_at"))
+    return filings.where(F.col("deleted_at").isNull() & shelf)
+
+
+def workspace_pages(filings: DataFrame, requests: DataFrame, size: int, archived: bool = False) -> DataFrame:
+    """Adds place: for each request the `size` filings of its workspace behind its cursor, newest first, larger ids first at one time.
+
+    requests: (user_id, request, after_ts, after_id); no cursor asks for the first page, and a workspace asks with few requests. The absent owner's
+    filings go to requests without a user. Nothing is sorted as a whole: each task keeps `size` rows of a request
+    before the shuffle, so a workspace that holds most of the filings costs no more than another one.
+    """
+    asked = requests.select(F.col("user_id").alias("_user"), "request", "after_ts", "after_id")
+    behind = F.col("after_ts").isNull() | (F.struct("created_at", "filing_id") < F.struct("after_ts", "after_id"))
+    found = workspace_filings(filings, archived).join(asked, F.col("user_id").eqNullSafe(F.col("_user")) & behind)
+    newest = Window.partitionBy("user_id", "request").orderBy(F.desc("created_at"), F.desc("filing_id"))
+    return found.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= size).drop("_user", "after_ts", "after_id")
 
 
 def latest_state(changes: DataFrame) -> DataFrame:
@@ -76,8 +91,9 @@ def session_list(sessions: DataFrame, messages: DataFrame, filing: str | None =
     return listed.orderBy(*[F.desc_nulls_last(c) for c in recent], F.desc("session_id"))
 
 
-def session_messages(messages: DataFrame, session: int) -> DataFrame:
-    return messages.where(F.col("session_id") == session).orderBy("message_id")
+def session_messages(messages: DataFrame) -> DataFrame:
+    """The messages of every session with their place in it, from 1."""
+    return messages.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("message_id")))
 
 
 def session_titles(messages: DataFrame) -> DataFrame:

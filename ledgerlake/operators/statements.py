@@ -91,40 +91,48 @@ def _years(text: Column) -> Column:
     return F.filter(F.transform(found, lambda y: y.cast("int")), lambda y: (y > 1990) & (y < 2100))
 
 
-def column_years(statement: Column, text: Column) -> Column:
+def marked_lines(statement: Column, text: Column) -> Column:
+    """array<struct<line, concept>>: the lines without outer blanks, each with the concept that its first cell names, or null."""
+
+    def mark(line: Column) -> Column:
+        concept = bind(F.lower(F.substring_index(line, "|", 1)), lambda label: _row_concept(statement, label))
+        return F.struct(line.alias("line"), F.when(line != "", concept).alias("concept"))
+
+    return F.transform(F.split(text, "\n"), lambda s: bind(strip(s), mark))
+
+
+def column_years(marked: Column) -> Column:
     """The years of a statement's head: of the nearest table row with a year before the first row that names a concept.
 
     A row has cells, or is a line of two years or more and nothing else; a page whose concepts stand in no cells is read
     line by line. If no row of the head has a year, the years are all those of the lines before. Nothing depends on how far down the page the table stands.
     """
     def head(all_: Column) -> Column:
-        concept = lambda s: _row_concept(statement, _label(s)).isNotNull()
-        kind = lambda s: F.when(concept(s), F.when(F.contains(s, F.lit("|")), 2).otherwise(1)).otherwise(0)
+        kind = lambda m: F.when(m["concept"].isNull(), 0).when(F.contains(m["line"], F.lit("|")), 2).otherwise(1)
         first = bind(F.transform(all_, kind), lambda k: F.coalesce(F.nullif(F.array_position(k, 2), F.lit(0)), F.array_position(k, 1)))
-        return bind(first.cast("int"), lambda n: F.when(n > 0, F.slice(all_, 1, n - 1)).otherwise(all_))
+        return bind(first.cast("int"), lambda n: F.when(n > 0, F.slice(all_, 1, n - 1)).otherwise(all_)["line"])
 
     def of_head(before: Column) -> Column:
         rows = F.filter(before, lambda s: F.contains(s, F.lit("|")) | s.rlike(rx(YEAR_ROW)))
         rows = F.filter(F.transform(rows, _years), lambda y: F.size(y) > 0)
         return F.coalesce(F.try_element_at(rows, F.lit(-1)), _years(F.array_join(before, "\n")))
 
-    return bind(bind(F.split(text, "\n"), head), of_head)
-
-
-def _label(line: Column) -> Column:
-    return F.lower(F.substring_index(strip(line), "|", 1))
+    return bind(head(marked), of_head)
 
 
 def statement_facts(pages: DataFrame) -> DataFrame:
-    """facts with source 'statement': the i-th figure of a row belongs to the i-th year of the page."""
-    chosen = cluster(candidates(pages, FACT_ITEMS))
-    lines = chosen.select(
-        "filing_id", "page", "statement", column_years(F.col("statement"), F.col("page_text")).alias("years"),
-        unit_scale(F.col("page_text")).alias("scale"), F.posexplode(F.split("page_text", "\n")).alias("line_no", "line"),
+    """facts with source 'statement': the i-th figure of a row belongs to the i-th year of the page.
+
+    A candidate page is read where it lies, each line once; what is shuffled to choose among a filing's candidates are their
+    years and the rows that name a concept.
+    """
+    found = candidates(pages, FACT_ITEMS).withColumn("marked", marked_lines(F.col("statement"), F.col("page_text")))
+    numbered = F.transform("marked", lambda m, i: F.struct(i.alias("line_no"), m["line"].alias("line"), m["concept"].alias("concept_key")))
+    read = found.select(
+        "filing_id", "page", "statement", "score", column_years(F.col("marked")).alias("years"),
+        unit_scale(F.col("page_text")).alias("scale"), F.filter(numbered, lambda m: m["concept_key"].isNotNull()).alias("rows"),
     )
-    row = lines.withColumn("line", strip(F.col("line"))).where("line <> ''")
-    labelled = row.withColumn("label", F.lower(F.substring_index("line", "|", 1)))
-    named = labelled.withColumn("concept_key", _row_concept(F.col("statement"), F.col("label"))).where("concept_key IS NOT NULL")
+    named = cluster(read).select("filing_id", "page", "statement", "years", "scale", F.inline("rows"))
     kept = F.slice(F.col("figures"), 1, F.greatest(F.size("years"), F.lit(1)))
     instant = string_map({k: str(v[0] == "balance_sheet").lower() for k, v in CONCEPTS.items()})
     return (

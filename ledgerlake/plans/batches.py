@@ -5,32 +5,64 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerlake.operators import (bm25, computed, facts, passages, questions, resolve, retrieval, statements, structure,
                                   verify, xbrl)
-from ledgerlake.session import stored
+from ledgerlake.session import scratch_dir, stored
 from ledgerlake.sources import exchange, html
+from ledgerlake.sources.store import Change, Snapshot, Store
+
+
+# Why a filing is rejected.
+NO_TEXT = "This document contains no extractable text."
+NO_PASSAGES = "No readable text was found in this filing."
 
 
 @dataclass
 class Lake:
-    """The stored tables of a set of filings."""
+    """The stored tables of a set of filings, all of one version."""
 
     pages: DataFrame
     passages: DataFrame
     tagged: DataFrame
     facts: DataFrame
+    filings: DataFrame
+
+    @classmethod
+    def of(cls, version: Snapshot) -> Lake:
+        return cls(*(version.table(name) for name in ("pages", "passages", "tagged", "facts", "filings")))
+
+
+def read_into(change: Change, filings: DataFrame, html_col: str = "html") -> DataFrame:
+    """Writes the tables of new filings into a change and returns their states (filing_id, status, error, num_pages).
+
+    Each table is written as soon as it is read and the next ones start from what is written, so the markup is parsed once for pages and once
+    for tags. A filing without text or without passages is rejected with its reason and is in none of the other tables.
+    """
+    page_rows = change.put("pages", html.readable_pages(filings, html_col))
+    cut = change.put("passages", passages.passages(page_rows))
+    tagged = change.put("tagged", xbrl.tagged_facts(filings, html_col))
+    change.put("facts", facts.combine(xbrl.to_facts(tagged), statements.statement_facts(page_rows)))
+    counted = page_rows.groupBy("filing_id").agg(F.max("page").alias("num_pages"))
+    judged = passages.without_passages(counted, cut).select("filing_id", F.lit(NO_PASSAGES).alias("error"))
+    states = filings.select("filing_id").join(counted, "filing_id", "left").join(judged, "filing_id", "left")
+    error = F.when(F.col("num_pages").isNull(), NO_TEXT).otherwise(F.col("error"))
+    return change.put("filings", states.select(
+        "filing_id", F.when(error.isNull(), "ready").otherwise("failed").alias("status"), error.alias("error"),
+        F.when(error.isNull(), F.col("num_pages")).alias("num_pages"),
+    ))
 
 
-def ingest(filings: DataFrame, html_col: str = "html") -> Lake:
-    """Filings (filing_id, html) to pages, passages, tagged facts and facts.
+def ingest(filings: DataFrame, html_col: str = "html", store: Store | None = None) -> Lake:
+    """Filings (filing_id, html) into the store: pages, passages, tagged facts, facts and states, visible all at once.
 
-    Pages and tags are written as soon as they are read, so the markup is parsed once whatever is built on them.
+    What is stored of these filings is replaced. Without a store the tables go to a fresh one in the shared folder.
     """
-    page_rows = stored(html.pages(filings, html_col), "pages")
-    tagged = stored(xbrl.tagged_facts(filings, html_col), "tagged")
-    built = facts.combine(xbrl.to_facts(tagged), statements.statement_facts(page_rows))
-    return Lake(page_rows, stored(passages.passages(page_rows), "passages"), tagged, stored(built, "facts"))
+    store = store or Store(filings.sparkSession, scratch_dir(filings.sparkSession, "index"), buckets=16)
+    change = store.change()
+    read_into(change, filings, html_col)
+    return Lake.of(change.commit(filings))
 
 
 def answer_batch(asked: DataFrame, lake: Lake, raw_proposals: DataFrame | None = None) -> DataFrame:

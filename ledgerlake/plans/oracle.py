@@ -239,10 +239,19 @@ SQL["html_text"] = r"""WITH v AS (SELECT page_id, regexp_replace(regexp_replace(
 SQL["html_sanitise"] = r"""SELECT CAST(page_id AS VARCHAR) filing_id, 1 page, regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script\s*>', '', 'gis'),
     '</?(meta|link|base|embed|form|iframe|object|applet|script)\b[^>]*>', '', 'gis') page_html FROM pages"""
 SQL["charset_decode"] = "SELECT CAST(doc_id AS VARCHAR) filing_id, sha1(text) utf8_sha1, length(replace(text, '€', '')) cp1252_chars FROM documents"
-SQL["dedup_filings"] = """SELECT min(doc_id) filing_id, CASE WHEN source <> 'src0' THEN source END user_id, sha256(text) content_hash FROM documents GROUP BY ALL"""
+_UPLOADS = """u AS (SELECT doc_id, CASE WHEN source <> 'src0' THEN source END user_id, sha256(text) content_hash, doc_id % 10 = 3 early, doc_id % 20 <> 13 live FROM documents)"""
+SQL["dedup_filings"] = f"""WITH {_UPLOADS}, k AS (SELECT user_id, content_hash FROM u WHERE early AND live)
+    SELECT min(doc_id) filing_id, user_id, content_hash FROM u WHERE NOT early
+      AND NOT EXISTS (SELECT 1 FROM k WHERE k.content_hash = u.content_hash AND k.user_id IS NOT DISTINCT FROM u.user_id) GROUP BY user_id, content_hash"""
+SQL["stream_arrivals"] = f"""WITH {_UPLOADS}, c AS (SELECT user_id, content_hash, count(*) FILTER (early AND live) k, count(*) FILTER (NOT early) a FROM u GROUP BY ALL)
+    SELECT user_id, content_hash, greatest(k, 1) n FROM c WHERE k > 0 OR a > 0"""
 SQL["passage_ids"] = r"""WITH x AS (SELECT CAST(doc_id AS VARCHAR) fid, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) - 1 o FROM documents)
     SELECT fid filing_id, o // 10 + 1 page, o ordinal, fid || ':p' || (o // 10 + 1) || ':' || o || ':' || sha1(fid || ':' || (o // 10 + 1) || ':' || o || ':' || t)[1:16] passage_id
     FROM x WHERE trim(t, ' ') <> ''"""
+SQL["passage_points"] = r"""WITH x AS (SELECT CAST(doc_id AS VARCHAR) fid, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) - 1 o FROM documents),
+    h AS (SELECT fid || ':' || o passage_id, sha1(unhex('6f2c9b6e9b3b4b0a9c1a2f7e6a9d4b10') || encode(fid || ':' || o)) h FROM x)
+    SELECT passage_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1)
+      || substr(h, 18, 3) || '-' || substr(h, 21, 12) point_id FROM h"""
 SQL["document_pages"] = r"""WITH x AS (SELECT CAST(doc_id AS VARCHAR) fid, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) - 1 o FROM documents),
     y AS (SELECT *, o // 10 + 1 page, contains(t, ' | ') tab FROM x),
     c AS (SELECT fid, page, o, unnest(string_split(t, ' | ')) cell, generate_subscripts(string_split(t, ' | '), 1) - 1 i FROM y WHERE tab),
@@ -267,6 +276,9 @@ qa AS (SELECT *, regexp_replace(form, '(is defined as|\\bdefined as\\b|\\bcalcul
          regexp_extract(question, '(?i:(?:is\\s+)?(?:defined|calculated|computed)\\s+as\\s*:?\\s*)(.+)', 1) clause FROM qf)"""
 
 
+_PAGE_TEXT = SQL["document_pages"].replace("sha1(", "(", 1)
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -510,9 +522,46 @@ SQL["interrupted_failed"] = f"""WITH s AS (SELECT user_id filing_id, arg_max({_S
 SQL["feedback_rollup"] = """SELECT user_id message_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 END feedback FROM events
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1"""
 SQL["usage_daily"] = """SELECT strftime(ts, '%Y-%m-%d') AS "day", event_type, count(*) n, count(DISTINCT user_id) users, round(sum(value), 4) AS value FROM events GROUP BY ALL"""
-SQL["stream_usage"] = """SELECT strftime(ts, '%Y-%m-%d') AS "day", event_type, count(*) n, round(sum(value), 4) AS value, max(value) max_value FROM events
-    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL"""
+SQL["stream_usage"] = """SELECT strftime(ts, '%Y-%m-%d') AS "day", event_type, count(*) n, round(sum(value), 4) AS value, max(value) max_value FROM events GROUP BY ALL"""
+SQL["stream_sliding"] = """SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR, '%Y-%m-%d %H:%M') window_start, event_type, count(*) n
+    FROM events, range(4) r(k) GROUP BY ALL"""
 SQL["stream_sessions"] = """WITH a AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-    b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM a),
-    c AS (SELECT user_id, k, count(*) n, sum(value) v, max(ts) t FROM b GROUP BY ALL)
-    SELECT user_id, n, round(v, 4) AS value FROM c WHERE t + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+    b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM a)
+    SELECT user_id, count(*) n, round(sum(value), 4) AS value FROM b GROUP BY user_id, k"""
+SQL["stream_status"] = f"SELECT user_id filing_id, arg_max({_STATUS}, ts) status FROM events GROUP BY user_id"
+SQL["ingest_rejected"] = """SELECT CAST(page_id AS VARCHAR) filing_id, CASE WHEN page_id % 5 < 2 THEN 'failed' ELSE 'ready' END status,
+    CASE WHEN page_id % 5 < 2 THEN 'This document contains no extractable text.' END error, CASE WHEN page_id % 5 >= 2 THEN 1 END num_pages FROM pages"""
+
+
+# --- workspaces and reports
+
+_RECORDS = """fr AS (SELECT doc_id filing_id, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 7 END user_id, length(text) * 1000 + doc_id % 3 created, doc_id % 11 = 4 deleted, doc_id % 4 = 1 archived,
+    CASE WHEN doc_id % 9 = 2 THEN 'My filing ' || doc_id WHEN doc_id % 2 = 0 AND source IS NOT NULL THEN concat_ws(' · ', 'Company ' || source, CASE WHEN doc_id % 3 = 0 THEN '10-K' END, CASE WHEN doc_id % 6 < 3 THEN 'FY2024' END)
+      ELSE doc_id || CASE WHEN doc_id % 8 = 5 THEN '.PDF' ELSE '.htm' END END title, CASE WHEN doc_id % 8 = 5 THEN 'pdf' ELSE 'html' END media,
+    doc_id * 7919 % 10007 * 1000000000 + doc_id away, doc_id % 13 <> 6 ready FROM documents)"""
+
+
+def _workspace_page(shelf: str) -> str:
+    return f"""WITH {_RECORDS}, c AS (SELECT user_id, arg_min(created, away) ts, arg_min(filing_id, away) id FROM fr GROUP BY user_id),
+      q AS (SELECT user_id, 'next' request, ts, id FROM c UNION ALL SELECT user_id, 'first', NULL, NULL FROM c),
+      p AS (SELECT fr.user_id, request, filing_id, title, media, row_number() OVER (PARTITION BY fr.user_id, request ORDER BY created DESC, filing_id DESC) place
+        FROM fr JOIN q ON fr.user_id IS NOT DISTINCT FROM q.user_id AND (ts IS NULL OR created < ts OR created = ts AND filing_id < id) WHERE NOT deleted AND {shelf})
+      SELECT user_id, request, CAST(place AS INTEGER) place, filing_id, title, media FROM p WHERE place <= 20"""
+
+
+SQL["workspace_active"] = _workspace_page("NOT archived")
+SQL["workspace_archived"] = _workspace_page("archived")
+SQL["session_messages"] = f"WITH {_PAIRS} SELECT session_id, message_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY message_id) AS INTEGER) place, question FROM ms"
+SQL["message_session"] = f"WITH {_PAIRS} SELECT session_id, message_id FROM ms WHERE session_id % 11 <> 3 AND message_id % 3 <> 1"
+SQL["askable_questions"] = f"WITH {_RECORDS} SELECT 'q' || filing_id question_id, filing_id FROM fr WHERE ready AND NOT deleted"
+_LABEL = "CASE length(text) % 5 " + " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate((
+    "correct answer, correct page", "correct answer, wrong page", "abstained", "confidently wrong", "answered an unanswerable question"))) + " END"
+SQL["eval_report"] = f"""WITH r AS (SELECT coalesce(source, 'guest') filing_id, {_LABEL} "label", CASE length(text) % 5 WHEN 0 THEN 1 WHEN 3 THEN -1 WHEN 4 THEN -1 ELSE 0 END points,
+      CASE WHEN doc_id % 4 <> 0 THEN nullif(doc_id % 97, 0) END ms FROM documents)
+    SELECT filing_id, "label", CAST(2 * grouping(filing_id) + grouping("label") AS BIGINT) "level", count(*) n, CAST(sum(points) AS BIGINT) points, count(ms) timed,
+      list_sort(list(ms) FILTER (ms IS NOT NULL))[count(ms) // 2 + 1] median_latency_ms FROM r GROUP BY CUBE (filing_id, "label")"""
+SQL["page_hits"] = """WITH t AS (SELECT doc_id n, [length(text) % 6 + 1, length(text) % 11 + 1] want, [doc_id % 5, doc_id % 7, 3] shown FROM documents)
+    SELECT count(*) questions, avg(CASE WHEN list_has_any(want, shown) THEN 1.0 ELSE 0 END) hit_rate, min(n % 101) min_ms, median(n % 101) median_ms, max(n % 101) max_ms FROM t"""
+SQL["index_replace"] = f"""WITH p AS ({_PAGE_TEXT}), q AS (SELECT *, CAST(filing_id AS BIGINT) n FROM p)
+    SELECT filing_id, page, sha1(CASE WHEN n % 3 = 0 THEN 'Amended. ' ELSE '' END || text_sha1) text_sha1 FROM q WHERE n % 7 <> 1
+    UNION ALL SELECT 'new-' || filing_id, page, sha1(text_sha1) FROM q WHERE n % 5 = 0"""

@@ -13,9 +13,10 @@ from ledgerlake.functions.ontology import DIRECT
 from ledgerlake.operators import (bm25, computed, evaluate, facts, history, metrics, passages, questions, retrieval,
                                   statements, structure, vectors, verify, xbrl)
 from ledgerlake.plans import batches
-from ledgerlake.session import stored
+from ledgerlake.session import scratch_dir, stored
 from ledgerlake.sources import asked, documents, filings, html, star
 from ledgerlake.sources.exchange import parse_proposals
+from ledgerlake.sources.store import Store, point_id
 from ledgerlake.sources.tables import table
 from ledgerlake.streaming import jobs
 
@@ -195,12 +196,49 @@ def charset_decode(spark, d):
     return rows.select("filing_id", F.sha1(F.encode("utf8", "UTF-8")).alias("utf8_sha1"), F.length("cp1252").alias("cp1252_chars"))
 
 
-def dedup_filings(spark, d):
-    docs = table(spark, d, "documents").select(
+def _uploads(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(
         F.col("doc_id").alias("filing_id"), F.when(F.col("source") != "src0", F.col("source")).alias("user_id"),
         html.content_hash(F.encode("text", "UTF-8")).alias("content_hash"))
-    stored_rows = docs.where("1 = 0").withColumn("deleted_at", F.lit(None).cast("timestamp"))
-    return html.new_uploads(docs, stored_rows).select("filing_id", "user_id", "content_hash")
+
+
+def _stored_uploads(docs: DataFrame) -> DataFrame:
+    """Every tenth upload came before the others; half of those are deleted again."""
+    deleted = F.when(F.col("filing_id") % 20 == 13, F.lit("2024-01-01").cast("timestamp"))
+    return docs.where("filing_id % 10 = 3").withColumn("deleted_at", deleted)
+
+
+def dedup_filings(spark, d):
+    docs = _uploads(spark, d)
+    return html.new_uploads(docs.where("filing_id % 10 <> 3"), _stored_uploads(docs)).select("filing_id", "user_id", "content_hash")
+
+
+def index_replace(spark, d):
+    """All documents stored, then every third one again with other text, every seventh one removed and some new ones."""
+    rows = documents.pages(spark, d)
+    store = Store(spark, scratch_dir(spark, "index"), buckets=16)
+    change = store.change()
+    change.put("pages", rows)
+    change.commit(rows)
+    n = F.col("filing_id").cast("bigint")
+    again = rows.where(n % 3 == 0).withColumn("page_text", F.concat(F.lit("Amended. "), "page_text"))
+    new = rows.where(n % 5 == 0).withColumn("filing_id", F.concat(F.lit("new-"), "filing_id"))
+    change = store.change()
+    fresh = change.put("pages", again.where(n % 7 != 1).unionByName(new))
+    change.commit(fresh.select("filing_id").union(rows.where(n % 7 == 1).select("filing_id")))
+    return store.snapshot().table("pages").select("filing_id", "page", F.sha1(F.encode("page_text", "UTF-8")).alias("text_sha1"))
+
+
+def ingest_rejected(spark, d):
+    """Web pages, a fifth of them emptied and a fifth without text."""
+    n = F.col("filing_id").cast("bigint") % 5
+    text = F.when(n == 0, "").when(n == 1, "<html><!-- none --><body><p> &nbsp;</p><script>x</script></body></html>").otherwise(F.col("html"))
+    return batches.ingest(_web(spark, d).withColumn("html", text)).filings
+
+
+def passage_points(spark, d):
+    p = documents.line_passages(spark, d)
+    return p.select("passage_id", point_id(F.col("passage_id")).alias("point_id"))
 
 
 def document_pages(spark, d):
@@ -488,14 +526,99 @@ def usage_daily(spark, d):
 
 
 def stream_usage(spark, d):
-    rows = jobs.usage(jobs.event_stream(spark, d))
-    done = jobs.finished(rows, spark, "stream-usage")
+    end = jobs.EndOfInput(spark)
+    done = jobs.finished(jobs.usage(end.attach(jobs.event_stream(spark, d))), spark, "stream-usage", end)
     return done.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 4).alias("value"), "max_value")
 
 
+def stream_sliding(spark, d):
+    end = jobs.EndOfInput(spark)
+    done = jobs.finished(jobs.sliding_usage(end.attach(jobs.event_stream(spark, d))), spark, "stream-sliding", end)
+    return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n")
+
+
 def stream_sessions(spark, d):
-    rows = jobs.user_sessions(jobs.event_stream(spark, d))
-    return jobs.finished(rows, spark, "stream-sessions").select("user_id", "n", F.round("value", 4).alias("value"))
+    end = jobs.EndOfInput(spark)
+    done = jobs.finished(jobs.user_sessions(end.attach(jobs.event_stream(spark, d))), spark, "stream-sessions", end)
+    return done.select("user_id", "n", F.round("value", 4).alias("value"))
+
+
+def _as_stream(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows as a stream of several micro-batches: written in files by range of `by`, read a file at a time."""
+    folder = scratch_dir(rows.sparkSession, "arriving")
+    rows.repartitionByRange(4, *by).write.parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def stream_arrivals(spark, d):
+    """Uploads a minute apart, in four runs of the feed, against those stored before and against each other."""
+    docs = _uploads(spark, d)
+    store = Store(spark, scratch_dir(spark, "arrivals"), buckets=16)
+    change = store.change()
+    before = change.put("arrivals", _stored_uploads(docs).select(F.col("filing_id").cast("string"), "user_id", "content_hash", "deleted_at"))
+    change.commit(before)
+    ends = docs.agg(F.max("filing_id")).first()[0] or 0
+    quarters = docs.where("filing_id % 10 <> 3").withColumn("quarter", F.floor(F.col("filing_id") * 4 / (ends + 1)))
+    timed = quarters.select(F.col("filing_id").cast("string"), "user_id", "content_hash", F.timestamp_seconds(F.col("filing_id") * 60 + 1_700_000_000).alias("ts"), "quarter")
+    folder, progress = scratch_dir(spark, "arriving"), scratch_dir(spark, "progress")
+    for quarter in range(4):
+        timed.where(F.col("quarter") == quarter).write.mode("append").parquet(folder)
+        arriving = spark.readStream.schema(timed.schema).parquet(folder)
+        jobs.arrival_feed(arriving, store, progress, "1 hour").start().awaitTermination()
+    live = store.snapshot().table("arrivals").where("deleted_at IS NULL")
+    return live.groupBy("user_id", "content_hash").agg(F.count("*").alias("n"))
+
+
+def stream_status(spark, d):
+    """Changes in no order of time, and the first update delivered again behind the last."""
+    changes = _changes(spark, d).select("filing_id", F.col("ts").cast("timestamp").alias("ts"), "status", F.xxhash64("filing_id", "ts").alias("order"))
+    store = Store(spark, scratch_dir(spark, "status"), buckets=16)
+    jobs.status_feed(_as_stream(changes, "order"), store, scratch_dir(spark, "progress")).start().awaitTermination()
+    jobs.upsert_status(jobs.latest_status(changes.where("order < 0")), 1 << 40, store)
+    return store.snapshot().table("status").select(F.col("filing_id").cast("bigint").alias("filing_id"), "change.status")
+
+
+# --- workspaces
+
+def _filing_records(spark, d) -> DataFrame:
+    """Documents as filing records of seven workspaces and the guests'."""
+    n = F.col("doc_id")
+    return table(spark, d, "documents").select(
+        n.alias("filing_id"), F.when(n % 5 != 0, n % 7).alias("user_id"), F.timestamp_seconds(F.length("text") * 1000 + n % 3).alias("created_at"),
+        F.when(n % 11 == 4, F.lit("2024-01-01")).alias("deleted_at"), F.when(n % 4 == 1, F.lit("2024-02-01")).alias("archived_at"),
+        F.when(n % 9 == 2, F.concat(F.lit("My filing "), n.cast("string"))).alias("custom_title"),
+        F.when(n % 2 == 0, F.concat(F.lit("Company "), "source")).alias("company_name"), F.when(n % 3 == 0, F.lit("10-K")).otherwise("").alias("filing_type"),
+        F.when(n % 6 < 3, F.lit("FY2024")).alias("fiscal_period"), F.concat(n.cast("string"), F.when(n % 8 == 5, F.lit(".PDF")).otherwise(".htm")).alias("original_name"),
+        F.when(n % 13 == 6, F.lit("failed")).otherwise("ready").alias("status"))
+
+
+def _workspace_page(archived: bool):
+    def run(spark, d):
+        records = _filing_records(spark, d)
+        # Every workspace asks for the page behind one of its filings, and for its first page.
+        cursor = records.groupBy("user_id").agg(F.min_by(F.struct("created_at", "filing_id"), F.col("filing_id") * 7919 % 10007 * 1_000_000_000 + F.col("filing_id")).alias("c"))
+        asked = cursor.select("user_id", F.lit("next").alias("request"), F.col("c.created_at").alias("after_ts"), F.col("c.filing_id").alias("after_id"))
+        first = cursor.select("user_id", F.lit("first").alias("request"), F.lit(None).cast("timestamp").alias("after_ts"), F.lit(None).cast("bigint").alias("after_id"))
+        found = history.workspace_pages(history.display_title(records), asked.unionByName(first), 20, archived)
+        return found.select("user_id", "request", "place", "filing_id", "title", "media")
+    return run
+
+
+def session_messages(spark, d):
+    return history.session_messages(_messages(spark, d)).select("session_id", "message_id", "place", "question")
+
+
+def message_session(spark, d):
+    """Messages asked for by the workspace of their own session, or by a wrong one."""
+    m = _messages(spark, d)
+    asking = F.when(F.col("message_id") % 3 != 1, F.col("user_id")).otherwise(F.coalesce("user_id", F.lit(-1)) + 1)
+    asked = m.select("session_id", "message_id", asking.alias("asking_user"))
+    return history.visible_to(asked, _sessions(spark, d).where("deleted_at IS NULL"), "session_id").select("session_id", "message_id")
+
+
+def askable_questions(spark, d):
+    q = documents.line_questions(spark, d).withColumn("filing_id", F.col("filing_id").cast("bigint"))
+    return history.askable(q, _filing_records(spark, d)).select("question_id", "filing_id")
 
 
 def eval_score(spark, d):
@@ -515,6 +638,28 @@ def _scored(spark, d):
     return evaluate.scored(rows)
 
 
+def _results(spark, d) -> DataFrame:
+    """Scored questions with a label of each kind, by workspace; no latency where nothing was timed."""
+    n = F.col("doc_id")
+    label = F.element_at(F.array(*map(F.lit, evaluate.LABELS)), (F.length("text") % len(evaluate.LABELS) + 1).cast("int"))
+    return table(spark, d, "documents").select(
+        n.alias("question_id"), F.coalesce("source", F.lit("guest")).alias("filing_id"), label.alias("label"),
+        evaluate.points_of(label).alias("points"), F.when(n % 4 != 0, n % 97).otherwise(0).alias("latency_ms"))
+
+
+def eval_report(spark, d):
+    return evaluate.label_report(_results(spark, d), "filing_id")
+
+
+def page_hits(spark, d):
+    """Each document's lines shown as three ranked pages, against two evidence pages of its question."""
+    docs = documents.documents(spark, d).withColumn("n", F.col("filing_id").cast("bigint"))
+    shown = docs.select(F.col("filing_id").alias("question_id"), F.explode(F.array(F.col("n") % 5, F.col("n") % 7, F.lit(3).cast("bigint"))).alias("page"))
+    truth = docs.select(F.col("filing_id").alias("question_id"), (F.col("n") % 101).alias("latency_ms"),
+                        F.explode(F.array(F.length("text") % 6, F.length("text") % 11)).alias("evidence_page"))
+    return evaluate.page_hits(shown, truth)
+
+
 def eval_summary(spark, d):
     return evaluate.summary(_scored(spark, d))
 
@@ -559,5 +704,9 @@ CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "session_list": session_list, "session_title": session_title, "history_search": history_search,
     "citations_fallback": citations_fallback, "status_latest": status_latest, "interrupted_failed": interrupted_failed,
     "feedback_rollup": feedback_rollup, "usage_daily": usage_daily, "stream_usage": stream_usage, "stream_sessions": stream_sessions,
+    "index_replace": index_replace, "ingest_rejected": ingest_rejected, "passage_points": passage_points,
+    "stream_sliding": stream_sliding, "stream_arrivals": stream_arrivals, "stream_status": stream_status,
+    "workspace_active": _workspace_page(False), "workspace_archived": _workspace_page(True), "session_messages": session_messages,
+    "message_session": message_session, "askable_questions": askable_questions, "eval_report": eval_report, "page_hits": page_hits,
     "eval_score": eval_score, "eval_summary": eval_summary, "retrieval_auc": retrieval_auc, "threshold_curve": threshold_curve,
 }

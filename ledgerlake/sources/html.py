@@ -184,12 +184,14 @@ def grid_text(grid: Column) -> Column:
     return F.when((F.size(kept) >= 2) & (F.size(filled) >= 2), text)
 
 
-def readable_split(page_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages of filings with any text, filing ids without)."""
-    verdict = page_rows.groupBy("filing_id").agg(F.bool_or(F.length(strip(F.col("page_text"))) > 0).alias("ok"))
-    good = page_rows.join(verdict.where("ok"), "filing_id", "left_semi")
-    bad = verdict.where("NOT ok").select("filing_id", F.lit("This document contains no extractable text.").alias("error"))
-    return good, bad
+def readable_pages(filings: DataFrame, html_col: str = "html") -> DataFrame:
+    """pages() of the filings that have any text; a filing of blank pages gives none. Judged in the row, so no shuffle."""
+
+    def if_any(texts: Column) -> Column:
+        return F.when(F.exists(texts, lambda t: strip(t) != ""), texts)
+
+    texts = bind(F.transform(split_pages(body_of(F.col(html_col))), page_text), if_any)
+    return filings.select("filing_id", F.posexplode(texts).alias("pos", "page_text")).select("filing_id", (F.col("pos") + 1).alias("page"), "page_text")
 
 
 # Possessive patterns: no step is ever taken back, so the time is linear and nothing recurses, whatever the markup.
