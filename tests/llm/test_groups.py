@@ -108,32 +108,30 @@ def test_near_copies_odd_rows(odd, clashing, nothing):
 # -- lines
 
 
-def line_groups(rows):
-    """Class of each distinct normalised line by comparing all pairs."""
-    norm = sorted({r["norm"]: None for r in rows})
-    codes = np.array([simhash(x.split(" ")) for x in norm], dtype="int64").view("uint64")
-    found = Classes()
-    for i, a in enumerate(norm):
-        for j in np.flatnonzero(np.bitwise_count(codes[i] ^ codes[i + 1 :]) <= 3) + i + 1:
-            x, y = a.split(" "), norm[j].split(" ")
-            if edits(x, y) <= int(max(len(x), len(y)) * (1 - 0.8) + 1e-9):
-                found.join(a, norm[j])
-    return found
+def near_pairs(rows):
+    """All pairs of different normalised lines that need no more edits than a fifth of the longer one: (line, other)."""
+    texts = stored(rows.select("line", "norm").distinct(), "texts")
+    longer = F.greatest(F.length("norm"), F.length("text"))
+    pairs = texts.join(texts.toDF("other", "text"), (F.col("line") > F.col("other")) & (F.abs(F.length("norm") - F.length("text")) <= 0.2 * longer + 1e-9))
+    pairs = pairs.repartition(16).withColumn("most", F.floor(0.2 * longer + 1e-9).cast("int"))
+    return pairs.where("levenshtein(norm, text, most) >= 0").select("line", "other").collect()
 
 
 def test_line_dedup_against_brute_force(spark, folder):
     near = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120))
     extra = [(10_000 + i, f"{near.replace('wordc', 'other' + chr(97 + i) + 'c', 1)}\nA line of its own {chr(97 + i)}\n---\n---\nshared LINE, here!\nshared line 7 here") for i in range(6)]
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
-    rows = linededup.lines(docs).collect()
-    groups, first = line_groups(rows), {}
+    frame = stored(linededup.lines(docs), "lines")
+    rows, groups, first = frame.collect(), Classes(), {}
+    for r in near_pairs(frame):
+        groups.join(r["line"], r["other"])
+    assert any(groups.find(a) != a for a in list(groups))
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["row"], r["pos"])):
-        first.setdefault(groups.find(r["norm"]), (r["doc_id"], r["pos"]))
+        first.setdefault(groups.find(r["line"]), (r["doc_id"], r["pos"]))
     gone = defaultdict(set)
     for r in rows:
-        if first[groups.find(r["norm"])] != (r["doc_id"], r["pos"]):
+        if first[groups.find(r["line"])] != (r["doc_id"], r["pos"]):
             gone[r["doc_id"]].add(r["pos"])
-    assert any(groups.find(a) != a for a in list(groups))
     got = {r["doc_id"]: r for r in linededup.dedup_lines(docs).collect()}
     for doc, text in docs.collect():
         kept = [x for i, x in enumerate(text.split("\n")) if i not in gone[doc]]
@@ -141,12 +139,26 @@ def test_line_dedup_against_brute_force(spark, folder):
         assert (got[doc]["n_lines"], got[doc]["n_removed"]) == (text.count("\n") + 1, len(gone[doc]))
 
 
-def test_long_lines_vote_in_parts(spark):
+def test_codes_of_short_and_long_lines(spark):
     letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
-    words = [letters(i * 7) for i in range(40_000)]  # more different words than one part takes
-    rows = linededup.lines(spark.createDataFrame([(1, " ".join(words)), (2, "x" * 50_000)], "doc_id long, text string"))
-    got = {r["line"]: r["code"] for r in linededup.simhashes(rows).collect()}
-    assert got == {r["line"]: simhash(r["norm"].split(" ")) for r in rows.collect()}
+    sizes = (1, 2, 3, 62, 63, 64, 65, 1000, 16_383, 16_384, 40_000)  # on both sides of where counts get wider
+    texts = [" ".join(letters(i * 7 + n) for i in range(n)) for n in sizes] + ["x" * 50_000, " ".join(["same"] * 200), " ".join(["same"] * 20_000)]
+    rows = linededup.lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts) and all(r["code"] == simhash(r["norm"].split(" ")) for r in rows)
+
+
+def test_common_ends_change_no_edits(spark):
+    random = np.random.default_rng(3)
+    rows = []
+    for _ in range(300):
+        a = "".join(random.choice(list("abé\u4e2d"), random.integers(0, 40)))
+        b = list(a)
+        for _ in range(random.integers(0, 4)):
+            b.insert(random.integers(0, len(b) + 1), str(random.choice(list("xyü"))))
+        rows.append((a, "".join(b[: random.integers(0, len(b) + 1)] if random.random() < 0.3 else b)))
+    cut = spark.createDataFrame(rows, "a string, b string").select("a", "b", linededup._unlike(F.col("a"), F.col("b")).alias("u"))
+    assert cut.where("levenshtein(a, b) <> levenshtein(u.a, u.b)").count() == 0
+    assert cut.where("u.a <> '' and u.b <> '' and (left(u.a, 1) = left(u.b, 1) or right(u.a, 1) = right(u.b, 1))").count() == 0
 
 
 def test_lines_of_figures_repeat(spark):
@@ -181,10 +193,7 @@ def test_recall_of_near_lines(spark):
             signs[at] = chr(97 + random.integers(26))
         lines += [" ".join(words), "".join(signs)]
     rows = linededup.lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
-    texts = stored(rows.select("line", "norm").distinct(), "texts")
-    pairs = texts.join(texts.toDF("other", "text"), (F.col("line") > F.col("other")) & (F.abs(F.length("norm") - F.length("text")) <= 0.2 * F.greatest(F.length("norm"), F.length("text")) + 1e-9))
-    most = F.floor(0.2 * F.greatest(F.length("norm"), F.length("text")) + 1e-9).cast("int")
-    near = pairs.withColumn("most", most).where("levenshtein(norm, text, most) >= 0").select("line", "other").collect()
+    near = near_pairs(rows)
     classes = {r["node"]: r["component"] for r in linededup.line_classes(rows).collect()}
     found = sum(a in classes and classes[a] == classes.get(b) for a, b in near)
     print("recall of near lines", found, len(near))
