@@ -59,19 +59,20 @@ def position(demand: Column, slope: Column) -> Column:
 def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, passes: int = PASSES, digits: int = 3) -> DataFrame:
     """The rows of `docs` with size, source_size, target, taken and first_position, second_position, ...
 
-    Method: the documents of a source form a line, in the order of the digest of their id; passes over the line make up
+    Method: the documents of a source form a line, in the order of a digest of their id and text; passes over the line make up
     the source's target, the last one ending at the document whose middle the target reaches. A document's place on
     the line is cumulative demand, which the inverse of the source's integrated weight schedule turns into a training
     position. Positions of passes that are not taken are null.
 
     A null text has size 0; null is a source of its own, the last; rows of size 0 are taken 0 words and have no
-    position; repeated rows and equal ids are placed one behind the other; no rows give no rows. Input columns with
+    position; repeated rows and equal ids are placed one behind the other, in the same order however the rows are dealt
+    (rows of one source, id and text are alike, so their order does not show); no rows give no rows. Input columns with
     the name of an added one are replaced. A source with most rows is spread by digest, see running_sum.
     """
     sized = (
         docs.withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
         .withColumn("source_key", no_nulls("source"))
-        .withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        .withColumn("_order", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))))
     )
     sized = sized.drop("source_size", "slope", "target")
     groups = stored(parts(sized, "source_key", "_order", "size", digits, "source"), "mix-parts")
@@ -102,14 +103,16 @@ def curriculum(docs: DataFrame, passes: int = PASSES, **options) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix range-sorted by first position; documents that are not taken come first."""
     docs = documents(spark, folder).select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "first_position", "second_position")
+    mixed = mix(docs).select("doc_id", "size", "source_size", "target", "taken", "first_position", "second_position")
+    return mixed.orderBy("first_position", "doc_id")
 
 
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS ord
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS ord
   FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (

@@ -327,3 +327,38 @@ def test_pipeline_against_its_stages(spark, folder):
     assert mixed.columns == docs.columns and max(Counter(r["doc_id"] for r in mixed.collect()).values()) <= 2
     packed = corpus_pipeline.run(spark, folder).collect()
     assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r["doc_id"] for r in mixed.collect())
+
+
+def odd_folder(spark, tmp_path, docs):
+    """A data folder with these documents, further columns of clashing names, and labels for half of them."""
+    names = ("size", "slope", "code", "n_lines", "position", "_order", "kept", "sequence_id", "label")
+    docs = docs.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"), *[F.lit("own").alias(n) for n in names])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.where("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_on_odd_rows(spark, odd, nothing, tmp_path):
+    random = np.random.default_rng(8)
+    word = lambda: "".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), random.integers(2, 9)))
+    prose = [(20 + i, "\n".join(" ".join(word() for _ in range(12)) for _ in range(8)) + ".", "abc"[i % 3]) for i in range(12)]
+    docs = odd.union(spark.createDataFrame(prose + prose[:4], odd.schema))
+    where = odd_folder(spark, tmp_path / "some", docs)
+    kept = corpus_pipeline.documents(spark, where)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stored(stage(spark, kept, where), "odd")
+        assert set(kept.columns) == set(corpus_pipeline.documents(spark, where).columns), name
+        assert {r[c] for c in ("size", "slope", "code", "n_lines", "position", "_order") for r in kept.collect()} <= {"own"}, name
+    packed = corpus_pipeline.run(spark, where)
+    rows = packed.select("doc_id", "piece", "length", "offset").collect()
+    assert len({r["doc_id"] for r in rows} & {20 + i for i in range(12)}) >= 8 and not {r["doc_id"] for r in rows} & {3, 4, 5, 6}
+    again = corpus_pipeline.run(spark, odd_folder(spark, tmp_path / "dealt", docs.repartition(7)))
+    assert sorted(r["length"] for r in again.collect()) == sorted(r["length"] for r in rows)
+    assert corpus_pipeline.run(spark, odd_folder(spark, tmp_path / "none", nothing)).count() == 0
+
+
+def test_mix_is_the_same_however_rows_are_dealt(spark):
+    rows = [(1 if i < 7 else None if i < 10 else i, " ".join(["word"] * (i % 5 + 1) + [f"t{i}"]), "ab"[i % 2]) for i in range(40)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, source string")
+    found = [Counter(map(str, mixing.mix(docs.repartition(n)).collect())) for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2]
