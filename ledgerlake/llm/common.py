@@ -37,13 +37,15 @@ _recorded: ContextVar[list[str] | None] = ContextVar("recorded", default=None)
 
 @contextmanager
 def recorded() -> Iterator[list[str]]:
-    """The folders that stored() writes inside the block, for drop() once what was built on them is written."""
+    """The folders that stored() writes inside the block, for drop() once what was built on them is written; a block around it has them too."""
     paths: list[str] = []
     token = _recorded.set(paths)
     try:
         yield paths
     finally:
         _recorded.reset(token)
+        if (around := _recorded.get()) is not None:
+            around.extend(paths)
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
