@@ -221,7 +221,10 @@ SQL["concept_pages_tagged"] = f"""WITH {FACTS}, tg(c, tag) AS (VALUES {_TAGS}),
     p AS (SELECT fid, tag, page FROM f JOIN tg USING (c)
           UNION SELECT fid, tag, 4 FROM f JOIN tg USING (c) WHERE page = 5 UNION SELECT fid, 'Revenues', 9 FROM f WHERE c = 'revenue')
     SELECT fid filing_id, tag, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) pages FROM p GROUP BY fid, tag"""
-SQL["statement_facts"] = f"WITH {READ} SELECT fid filing_id, c concept_key, fy fiscal_year, v AS value, page FROM g WHERE c IN ({_UNTAGGED})"
+# A row of a statement gives its figures to the newest years in turn, so a figure behind a missing year moves one year on.
+SQL["statement_facts"] = f"""WITH {FACTS}, ylist AS (SELECT fid, fy, row_number() OVER (PARTITION BY fid ORDER BY fy DESC) n FROM (SELECT DISTINCT fid, fy FROM f)),
+    r AS (SELECT fid, c, v, page, row_number() OVER (PARTITION BY fid, c ORDER BY fy DESC) n FROM f)
+    SELECT fid filing_id, c concept_key, fy fiscal_year, v AS value, page FROM r JOIN ylist USING (fid, n)"""
 SQL["facts_combined"] = f"""WITH {READ}, newest AS (SELECT fid, c, max(fy) fy FROM f GROUP BY fid, c)
     SELECT g.fid filing_id, g.c concept_key, g.fy fiscal_year, v AS value,
       CASE WHEN newest.fy IS NOT NULL AND page = 5 AND g.c NOT IN ({_UNTAGGED}) THEN 4 ELSE page END page

@@ -141,7 +141,7 @@ def concept_pages_tagged(spark, d):
 
 def statement_facts(spark, d):
     s = statements.statement_facts(_lake(spark, d).pages)
-    kept = facts.best_by_year(s.where(F.col("concept_key").isin(filings.UNTAGGED)))
+    kept = facts.best_by_year(s)
     return kept.select("filing_id", "concept_key", "fiscal_year", "value", "page")
 
 
