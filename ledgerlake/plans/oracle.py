@@ -215,11 +215,11 @@ SQL["xbrl_facts"] = f"""WITH {FACTS}{_MEMBER_TAIL},
     newest AS (SELECT fid, c, max(fy) fy FROM f GROUP BY fid, c)
     SELECT fid filing_id, c concept_key, v AS value, fy fiscal_year, page, page = 6 instant, '' member, '' axis FROM t
     UNION ALL SELECT fid, c, v, fy, 4, false, '', '' FROM t JOIN newest USING (fid, c, fy) WHERE page = 5
-    UNION ALL SELECT fid, c, v, fy, 9, false, member, axis FROM m WHERE c = 'revenue'"""
+    UNION ALL SELECT fid, c, v, fy, 9, false, member, axis FROM m WHERE v <> 0"""
 _TAGS = ", ".join(f"('{c}', '{tag}')" for c, (_, tag) in PRINTED.items() if tag)
 SQL["concept_pages_tagged"] = f"""WITH {FACTS}, tg(c, tag) AS (VALUES {_TAGS}),
     p AS (SELECT fid, tag, page FROM f JOIN tg USING (c)
-          UNION SELECT fid, tag, 4 FROM f JOIN tg USING (c) WHERE page = 5 UNION SELECT fid, 'Revenues', 9 FROM f WHERE c = 'revenue')
+          UNION SELECT fid, tag, 4 FROM f JOIN tg USING (c) WHERE page = 5 UNION SELECT fid, tag, 9 FROM f JOIN tg USING (c) WHERE c IN ('revenue', 'cogs'))
     SELECT fid filing_id, tag, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) pages FROM p GROUP BY fid, tag"""
 # A row of a statement gives its figures to the newest years in turn, so a figure behind a missing year moves one year on.
 SQL["statement_facts"] = f"""WITH {FACTS}, ylist AS (SELECT fid, fy, row_number() OVER (PARTITION BY fid ORDER BY fy DESC) n FROM (SELECT DISTINCT fid, fy FROM f)),
@@ -495,11 +495,11 @@ SQL["question_values"] = f"""WITH {READ}{metric_cte(list(METRICS), "g", spine=Tr
     SELECT question_id, metric, kind, round(val, 6) AS value, y0 first_year, y1 last_year FROM rv WHERE val IS NOT NULL"""
 SQL["segment_ranking"] = f"""WITH {FACTS}{_MEMBER_TAIL}, {NAMED}, fl AS (SELECT fid, max(fy) newest FROM f GROUP BY fid),
     s AS (SELECT question_id, filing_id, named, coalesce(qyear, newest) yr, regexp_matches(form, '\\bgeograph\\w*|\\bregions?\\b|\\bcountry\\b|\\bcountries\\b') geo,
-        regexp_matches(form, '\\b(lowest|smallest|least|worst)\\b') low FROM qq JOIN fl ON fid = filing_id WHERE named = 'revenue'
+        regexp_matches(form, '\\b(lowest|smallest|least|worst)\\b') low FROM qq JOIN fl ON fid = filing_id WHERE named IN ('revenue', 'cogs')
         AND regexp_matches(form, '\\b(segments?|divisions?|business units?|reporting units?|geograph\\w*|regions?|country|countries|markets?)\\b')
         AND regexp_matches(form, '\\b(highest|largest|biggest|most|greatest|best|top|lowest|smallest|least|worst)\\b')),
     r AS (SELECT s.*, member, v, count(*) OVER (PARTITION BY question_id) n, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN low THEN v ELSE -v END) k
-        FROM s JOIN m ON m.fid = filing_id AND m.fy = yr AND m.c = 'revenue' AND (axis LIKE '%Geographical%') = geo)
+        FROM s JOIN m ON m.fid = filing_id AND m.fy = yr AND m.c = named AND (axis LIKE '%Geographical%') = geo)
     SELECT question_id, named metric, yr AS "year", trim(regexp_replace(regexp_replace(regexp_replace(member, '^[^:]*:', ''), '(Segment)?Member$', ''), '([a-z])([A-Z])', '\\1 \\2', 'g')) winner, v AS value
     FROM r WHERE n >= 2 AND k = 1"""
 
