@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections import Counter
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import documents, parts, running_sum, stored
 
 SHARDS = 24
-ROUNDS = SHARDS  # a round fills one shard of a large group at least; it ends as soon as nothing moves
+FULL = 0.9  # of a shard's quota: a shard with that many documents of one group is settled for it
+LEAST_GAIN = 0.002  # of the pieces of groups, or of the squares of their counts, that a round has to gain
 
 
 def _numbered(rows: DataFrame, by: str, order: str, value: str, name: str, digits: int) -> DataFrame:
@@ -19,39 +23,162 @@ def _per_shard(values: list[int], shard: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), shard + 1)
 
 
-def propagate(places: DataFrame, quota: int, shards: int, rounds: int, digits: int) -> DataFrame:
-    """(group, shard, n) after label propagation; places has the same columns and no shard above `quota` stays below it.
+def flows(wishes: dict[tuple[int, int], int], tied: dict[tuple[int, int], int], room: list[int], pairs_first: bool) -> tuple[dict, dict]:
+    """What moves between shards so that no shard gains more documents than it loses and has room for, for wishes and ties apart.
+
+    wishes[s, t] documents want to go from s to t; of tied[s, t], s < t, each may go either way. A cycle of shards along
+    which documents move leaves all counts as they are; a shard with room passes it on to where its documents came from, by
+    way of a node that stands for all rooms. Cycles are taken until none is left. The work depends on the number of
+    shards alone.
+    """
+    size = len(room)
+    ahead, either = Counter(wishes), Counter(tied)
+    ahead.update({(s, size): n for s, n in enumerate(room) if n > 0})
+    spare = sum(ahead.values()) + sum(either.values())
+    ahead.update({(size, s): spare for s in range(size)})
+    one_way, both_ways = Counter(), Counter()
+    edge = lambda s, t: (min(s, t), max(s, t))
+    left = lambda s, t: ahead[s, t] + either[edge(s, t)]
+
+    def push(s: int, t: int, n: int) -> None:
+        wished = min(n, ahead[s, t])
+        ahead[s, t] -= wished
+        one_way[s, t] += wished
+        either[edge(s, t)] -= n - wished
+        both_ways[s, t] += n - wished
+
+    def exchange() -> None:
+        for s, t in combinations(range(size), 2):
+            n = min(left(s, t), left(t, s), (ahead[s, t] + ahead[t, s] + either[s, t]) // 2)
+            push(s, t, n)
+            push(t, s, n)
+
+    def way(start: int, end: int) -> list[int] | None:
+        came, queue = {start: start}, [start]
+        for at in queue:
+            for to in range(size + 1):
+                if to not in came and left(at, to) > 0 and (at, to) != (start, end):
+                    came[to] = at
+                    queue.append(to)
+                    if to == end:
+                        path = [end]
+                        while path[-1] != start:
+                            path.append(came[path[-1]])
+                        return path[::-1]
+        return None
+
+    def cycles() -> None:
+        for s, t in [(s, t) for s in range(size) for t in range(size) if s != t]:
+            while left(s, t) > 0 and (path := way(t, s)) is not None:
+                steps = list(zip([s, *path], path))
+                n = min(left(*step) for step in steps)
+                for step in steps:
+                    push(*step, n)
+
+    for step in (exchange, cycles) if pairs_first else (cycles, exchange):
+        step()
+    return one_way, both_ways
+
+
+def _by_pair(amounts: dict[tuple[int, int], int], shards: int, s: Column, t: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(amounts.get((i, j), 0)).cast("long") for i in range(shards) for j in range(shards)]), s * shards + t + 1)
+
+
+def _wishes(places: DataFrame, full: int, turn: int) -> DataFrame:
+    """Adds pieces, to and tie to the places: where a row's documents want to go, if anywhere, and whether the other way is as good.
+
+    Windows hold one row per shard of a group. A shard with `full` documents of a group is settled for that group.
+    """
+    order = Window.partitionBy("group").orderBy(F.col("n") >= full, F.desc("n"), F.xxhash64("group", "shard", F.lit(turn)))
+    best = lambda c: F.first(c).over(order)
+    ranked = places.select(
+        "group", "shard", "n", F.count("*").over(Window.partitionBy("group")).alias("pieces"), F.row_number().over(order).alias("_at"),
+        best("shard").alias("_to"), best("n").alias("_there"))
+    moves = (F.col("_at") > 1) & (F.col("n") < full)
+    tie = moves & (F.col("_at") == 2) & (F.col("n") == F.col("_there"))
+    return ranked.select("group", "shard", "n", "pieces", F.when(moves, F.col("_to")).alias("to"), tie.alias("tie"))
+
+
+def _moved(wish: DataFrame, moves: DataFrame) -> DataFrame:
+    """The places after moves (group, from, to, m)."""
+    changes = moves.where("m > 0").select("group", F.inline(F.array(
+        F.struct(F.col("to").alias("shard"), F.col("m").alias("n")), F.struct(F.col("from").alias("shard"), (-F.col("m")).alias("n")))))
+    return stored(wish.select("group", "shard", "n").union(changes).groupBy("group", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "places")
+
+
+def _covered(first: Column, n: Column, low: Column, high: Column) -> Column:
+    """How much of [first, first + n) lies in [low, high)."""
+    return F.greatest(F.least(first + n, high) - F.greatest(first, low), F.lit(0).cast("long"))
+
+
+def propagate(places: DataFrame, quota: int, shards: int, digits: int, least: float = LEAST_GAIN) -> DataFrame:
+    """(group, shard, n) after label propagation; places has the same columns, and a shard at or below `quota` stays there.
 
     The neighbours of a document are the documents of its group, so a shard's label counts as much as the group has
-    documents there. In a round each group looks for the shard with room where it has most documents, and its documents
-    in shards where it has no more move there, as far as the shard's room goes; a row may move in part. Rooms are one
-    number per shard. A group with more documents than a quota fills one shard after another.
+    documents there. In a round each group's documents want to go to the shard where it has most. What may move is settled by
+    shard, from one number per pair of shards: flows() matches moves with moves back and with free room, so quotas hold on
+    the net flow. Where nothing can be matched, groups that lie in one shard make way: they go as a whole where the others come
+    from. Either way the squares of the counts grow, so rounds come to an end. They end once two in a row lessen
+    neither the pieces of groups nor grow the squares by `least`.
+    A group with more documents than a shard takes is settled where it has FULL of the quota, and fills shard after shard.
     """
-    for _ in range(rounds):
-        load = {r["shard"]: r["n"] for r in places.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row per shard
-        room = [quota - load.get(s, 0) for s in range(shards)]
-        open_ = places.withColumn("room", _per_shard(room, F.col("shard"))).where("room > 0")
-        best = open_.groupBy("group").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("best"))
-        best = best.select("group", F.col("best.n").alias("there"), (-F.col("best.s")).cast("int").alias("to"))
-        wish = places.join(best, "group", "left")
-        moves = (F.col("to") != F.col("shard")) & (F.col("n") <= F.col("there"))
-        wish = stored(wish.withColumn("moves", F.coalesce(moves, F.lit(False))), "moves")
-        if wish.where("moves").isEmpty():
+    full, calm, before, turn = max(1, int(quota * FULL)), 0, None, 0
+    while calm < 2:
+        wish = stored(_wishes(places, full, turn), "wishes")
+        found = wish.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares")).collect()  # a row per shard
+        pieces, squares = sum(r["rows"] for r in found), sum(r["squares"] for r in found)
+        gained = before is None or pieces < before[0] * (1 - least) or squares > before[1] * (1 + least)
+        calm, before, turn = 0 if gained else calm + 1, (pieces, squares), turn + 1
+        wanted, tied = Counter(), Counter()
+        for r in wish.where("to is not null").groupBy("shard", "to", "tie").agg(F.sum("n").alias("n")).collect():  # two rows per pair of shards
+            if r["tie"]:
+                tied[min(r["shard"], r["to"]), max(r["shard"], r["to"])] += r["n"]
+            else:
+                wanted[r["shard"], r["to"]] += r["n"]
+        if not wanted and not tied:
             break
-        # Of two shards with equally many only one gives way: the target is the smaller one.
-        going = wish.where("moves").withColumn("_to", F.col("to").cast("string")).withColumn("_order", F.md5(F.concat_ws("/", "group", "shard")))
-        going = _numbered(going, "_to", "_order", "n", "_before", digits)
-        free = _per_shard(room, F.col("to"))
-        going = going.withColumn("taken", F.greatest(F.least(F.col("n"), free - F.col("_before")), F.lit(0)))
-        places = stored(
-            wish.where("not moves").select("group", "shard", "n")
-            .union(going.select("group", "to", "taken"))
-            .union(going.select("group", "shard", F.col("n") - F.col("taken")))
-            .groupBy("group", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "places")
+        load = {r["shard"]: r["n"] for r in found}
+        one_way, both_ways = flows(wanted, tied, [max(0, quota - load.get(s, 0)) for s in range(shards)], turn % 2 == 1)
+        going = wish.where("to is not null").withColumn("_order", F.md5(F.concat_ws("/", "group", "shard", F.lit(str(turn)))))
+        if gained and any(n for (s, t), n in (one_way + both_ways).items() if s < shards and t < shards):
+            low, high = F.least("shard", "to"), F.greatest("shard", "to")
+            pair = F.when(F.col("tie"), F.concat_ws("=", low, high)).otherwise(F.concat_ws(">", "shard", "to"))
+            going = _numbered(going.withColumn("_pair", pair), "_pair", "_order", "n", "_first", digits)
+            up, down = _by_pair(both_ways, shards, low, high), _by_pair(both_ways, shards, high, low)
+            nothing = F.lit(0).cast("long")
+            moves = going.select("group", F.inline(F.when(F.col("tie"), F.array(
+                F.struct(low.alias("from"), high.alias("to"), _covered(F.col("_first"), F.col("n"), nothing, up).alias("m")),
+                F.struct(high.alias("from"), low.alias("to"), _covered(F.col("_first"), F.col("n"), up, up + down).alias("m")),
+            )).otherwise(F.array(F.struct(F.col("shard").alias("from"), F.col("to").alias("to"), _covered(
+                F.col("_first"), F.col("n"), nothing, _by_pair(one_way, shards, F.col("shard"), F.col("to"))).alias("m"))))))
+            places = _moved(wish, moves)
+        else:
+            places = _moved(wish, _making_way(wish, going, wanted, tied, shards, digits, turn))
     return places
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, digits: int = 3) -> DataFrame:
+def _making_way(wish: DataFrame, going: DataFrame, wanted: Counter, tied: Counter, shards: int, digits: int, turn: int) -> DataFrame:
+    """Moves (group, from, to, m): as many wishes as groups that lie in the wished shard as a whole take the place of."""
+    asked = wanted + Counter({(s, t) if turn % 2 else (t, s): n for (s, t), n in tied.items()})
+    starts, at = {}, Counter()
+    for s, t in sorted(asked):  # what t gives to s covers [starts, starts + asked) of its whole groups
+        starts[s, t] = at[t]
+        at[t] += asked[s, t]
+    whole = wish.where("pieces = 1").select("group", "shard", "n", F.col("shard").cast("string").alias("_shard"), F.md5(F.concat_ws("/", "group", F.lit(str(turn)))).alias("_order"))
+    whole = _numbered(whole, "_shard", "_order", "n", "_first", digits)
+    ends = [F.when((F.col("shard") == t) & (F.col("_first") >= starts[s, t]) & (F.col("_first") + F.col("n") <= starts[s, t] + asked[s, t]), F.lit(s)) for s, t in sorted(asked)]
+    out = stored(whole.select("group", F.col("shard").alias("from"), F.coalesce(*ends).alias("to"), F.col("n").alias("m")).where("to is not null"), "making-way")
+    taken = Counter({(r["to"], r["from"]): r["m"] for r in out.groupBy("from", "to").agg(F.sum("m").alias("m")).collect()})  # a row per pair of shards
+    # A tie goes in the one direction that was asked for, so its row may be the one at the other end.
+    source = F.when(F.col("tie") & ((F.col("shard") < F.col("to")) != F.lit(bool(turn % 2))), F.col("to")).otherwise(F.col("shard"))
+    target = F.when(source == F.col("shard"), F.col("to")).otherwise(F.col("shard"))
+    going = going.select("group", "n", "_order", source.alias("from"), target.alias("to"))
+    going = _numbered(going.withColumn("_pair", F.concat_ws(">", "from", "to")), "_pair", "_order", "n", "_first", digits)
+    m = _covered(F.col("_first"), F.col("n"), F.lit(0).cast("long"), _by_pair(taken, shards, F.col("from"), F.col("to")))
+    return out.union(going.select("group", "from", "to", m.alias("m")))
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, digits: int = 3) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of `docs`; law "rows": counts at most one apart.
 
     Documents with equal texts are linked. They start in shards by digest and move by propagate(); documents without a
@@ -73,7 +200,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, digits: i
 
     total = rows.count()
     start = linked.groupBy("group", F.pmod(F.xxhash64("_order"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
-    places = propagate(_within(stored(start, "places"), total // shards, shards, digits), total // shards, shards, rounds, digits)
+    places = propagate(_within(stored(start, "places"), total // shards, shards, digits), total // shards, shards, digits)
 
     # A group's documents, by rank, go to its shards in turn; a shard's groups follow one another.
     places = places.withColumn("_shard", F.col("shard").cast("string")).withColumn("_group", F.md5("group"))
