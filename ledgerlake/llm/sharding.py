@@ -84,19 +84,24 @@ def _by_pair(amounts: dict[tuple[int, int], int], shards: int, s: Column, t: Col
     return F.element_at(F.array(*[F.lit(amounts.get((i, j), 0)).cast("long") for i in range(shards) for j in range(shards)]), s * shards + t + 1)
 
 
-def _wishes(places: DataFrame, full: int, turn: int) -> DataFrame:
+def _wishes(places: DataFrame, quota: int, full: int, turn: int) -> DataFrame:
     """Adds pieces, to and tie to the places: where a row's documents want to go, if anywhere, and whether the other way is as good.
 
-    Windows hold one row per shard of a group. A shard with `full` documents of a group is settled for that group.
+    Windows hold one row per shard of a group. A shard with `full` documents of a group is settled for that group. A group
+    with more than a quota needs several shards and gathers in all of them at once.
     """
-    order = Window.partitionBy("group").orderBy(F.col("n") >= full, F.desc("n"), F.xxhash64("group", "shard", F.lit(turn)))
-    best = lambda c: F.first(c).over(order)
+    group = Window.partitionBy("group")
+    order = group.orderBy(F.col("n") >= full, F.desc("n"), F.xxhash64("group", "shard", F.lit(turn)))
     ranked = places.select(
-        "group", "shard", "n", F.count("*").over(Window.partitionBy("group")).alias("pieces"), F.row_number().over(order).alias("_at"),
-        best("shard").alias("_to"), best("n").alias("_there"))
-    moves = (F.col("_at") > 1) & (F.col("n") < full)
+        "group", "shard", "n", F.count("*").over(group).alias("pieces"), F.sum("n").over(group).alias("_all"), F.row_number().over(order).alias("_at"),
+        F.sum((F.col("n") >= full).cast("int")).over(group).alias("_settled"), F.first("n").over(order).alias("_there"),
+        F.collect_list("shard").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_shards"))
+    homes = F.when(F.col("_all") > quota, F.greatest(F.ceil(F.col("_all") / full) - F.col("_settled"), F.lit(1))).otherwise(1).cast("int")
+    ranked = ranked.withColumn("_homes", homes)
+    moves = (F.col("_at") > F.col("_homes")) & (F.col("n") < full)
+    to = F.get("_shards", F.pmod(F.xxhash64("group", "shard", F.lit(turn)), F.col("_homes")).cast("int"))
     tie = moves & (F.col("_at") == 2) & (F.col("n") == F.col("_there"))
-    return ranked.select("group", "shard", "n", "pieces", F.when(moves, F.col("_to")).alias("to"), tie.alias("tie"))
+    return ranked.select("group", "shard", "n", "pieces", F.when(moves, to).alias("to"), tie.alias("tie"))
 
 
 def _moved(wish: DataFrame, moves: DataFrame) -> DataFrame:
@@ -118,13 +123,13 @@ def propagate(places: DataFrame, quota: int, shards: int, digits: int, least: fl
     documents there. In a round each group's documents want to go to the shard where it has most. What may move is settled by
     shard, from one number per pair of shards: flows() matches moves with moves back and with free room, so quotas hold on
     the net flow. Where nothing can be matched, groups that lie in one shard make way: they go as a whole where the others come
-    from. Either way the squares of the counts grow, so rounds come to an end. They end once two in a row lessen
+    from. Either way the squares of the counts grow, so rounds come to an end. They end once three in a row lessen
     neither the pieces of groups nor grow the squares by `least`.
-    A group with more documents than a shard takes is settled where it has FULL of the quota, and fills shard after shard.
+    A group with more documents than a shard takes is settled where it has FULL of the quota, and gathers in as many as it needs.
     """
     full, calm, before, turn = max(1, int(quota * FULL)), 0, None, 0
-    while calm < 2:
-        wish = stored(_wishes(places, full, turn), "wishes")
+    while calm < 3:
+        wish = stored(_wishes(places, quota, full, turn), "wishes")
         found = wish.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares")).collect()  # a row per shard
         pieces, squares = sum(r["rows"] for r in found), sum(r["squares"] for r in found)
         gained = before is None or pieces < before[0] * (1 - least) or squares > before[1] * (1 + least)
@@ -138,7 +143,8 @@ def propagate(places: DataFrame, quota: int, shards: int, digits: int, least: fl
         if not wanted and not tied:
             break
         load = {r["shard"]: r["n"] for r in found}
-        one_way, both_ways = flows(wanted, tied, [max(0, quota - load.get(s, 0)) for s in range(shards)], turn % 2 == 1)
+        room = [max(0, quota - load.get(s, 0)) for s in range(shards)]
+        one_way, both_ways = flows(wanted, tied, room, turn % 2 == 1)
         going = wish.where("to is not null").withColumn("_order", F.md5(F.concat_ws("/", "group", "shard", F.lit(str(turn)))))
         if gained and any(n for (s, t), n in (one_way + both_ways).items() if s < shards and t < shards):
             low, high = F.least("shard", "to"), F.greatest("shard", "to")
@@ -153,13 +159,18 @@ def propagate(places: DataFrame, quota: int, shards: int, digits: int, least: fl
                 F.col("_first"), F.col("n"), nothing, _by_pair(one_way, shards, F.col("shard"), F.col("to"))).alias("m"))))))
             places = _moved(wish, moves)
         else:
-            places = _moved(wish, _making_way(wish, going, wanted, tied, shards, digits, turn))
+            places = _moved(wish, _making_way(wish, going, wanted, tied, room, digits, turn))
     return places
 
 
-def _making_way(wish: DataFrame, going: DataFrame, wanted: Counter, tied: Counter, shards: int, digits: int, turn: int) -> DataFrame:
-    """Moves (group, from, to, m): as many wishes as groups that lie in the wished shard as a whole take the place of."""
-    asked = wanted + Counter({(s, t) if turn % 2 else (t, s): n for (s, t), n in tied.items()})
+def _making_way(wish: DataFrame, going: DataFrame, wanted: Counter, tied: Counter, room: list[int], digits: int, turn: int) -> DataFrame:
+    """Moves (group, from, to, m): as many wishes as groups that lie in the wished shard as a whole make way for.
+
+    They go where the wishes come from, as many documents as wish to leave there and as there is room for.
+    """
+    shards, asked = len(room), wanted + Counter({(s, t) if turn % 2 else (t, s): n for (s, t), n in tied.items()})
+    wishing = Counter(s for s, _ in asked)
+    asked = {(s, t): n + room[s] // wishing[s] for (s, t), n in asked.items()}
     starts, at = {}, Counter()
     for s, t in sorted(asked):  # what t gives to s covers [starts, starts + asked) of its whole groups
         starts[s, t] = at[t]
