@@ -326,6 +326,10 @@ ref AS (SELECT qq.*, CASE WHEN NOT supported THEN 'not a single-period consolida
     WHEN EXISTS (SELECT 1 FROM stated s WHERE s.question_id = qq.question_id AND s.k NOT IN (SELECT c FROM inp WHERE inp.metric = qq.metric)) THEN
       'the question defines ' || replace(metric, '_', ' ') || ' differently from the definition this system computes' END refusal FROM qq)"""
 
+_USERS_AL = f"""al(a, k, derived, i) AS (SELECT * FROM (VALUES {_AL}) UNION ALL
+    SELECT lower(c_name), ['net_income', 'dso', 'revenue', 'free_cash_flow'][c_custkey % 4 + 1], c_custkey % 4 IN (1, 3), 1000000 FROM customer)"""
+SQL["question_metric_users"] = f"WITH {NAMED.replace(f'al(a, k, derived, i) AS (VALUES {_AL})', _USERS_AL)} SELECT question_id, filing_id, question, metric, named FROM qq"
+SQL["metric_users"] = f"SELECT * REPLACE ('own_' || metric AS metric) FROM ({_metrics(['dso', 'quick_ratio', 'dpo_inventory_adjusted', 'gross_margin'])})"
 SQL["question_metric"] = f"WITH {NAMED} SELECT question_id, filing_id, question, metric, named FROM qq"
 SQL["question_year"] = f"WITH {NAMED} SELECT question_id, qyear AS \"year\" FROM qq"
 SQL["question_intent"] = f"""WITH {NAMED} SELECT question_id, kind, CASE WHEN r0 IS NOT NULL AND (kind IN ('average', 'single') OR r1 > r0) THEN least(r0, r1) END from_year,

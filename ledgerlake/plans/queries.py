@@ -66,6 +66,17 @@ def _metric(keys: list[str]):
     return run
 
 
+def metric_users(spark, d):
+    """Definitions of users that restate built-in ones, so that their values are known."""
+    own = [
+        metrics.user_metric("own_dso", "try_divide(receivables * 365, revenue)", averaged=["receivables"]),
+        metrics.user_metric("own_quick_ratio", "try_divide(cash + short_term_investments + receivables, liabilities_current)", optional=["short_term_investments"]),
+        metrics.user_metric("own_dpo_inventory_adjusted", "try_divide(payables * 365, cogs + inventory_change)", averaged=["payables"], delta=["inventory"]),
+        metrics.user_metric("own_gross_margin", "try_divide(gross_profit, revenue)"),
+    ]
+    return metrics.metric_table(_best(spark, d), [], more=own).select("filing_id", "fiscal_year", "metric", F.round("value", 6).alias("value"))
+
+
 def _annotated(spark, d) -> DataFrame:
     return questions.annotate(asked.questions(spark, d))
 
@@ -260,6 +271,16 @@ def question_metric(spark, d):
     return _annotated(spark, d).select("question_id", "filing_id", "question", "metric", "named")
 
 
+USERS_METRICS = ("net_income", "dso", "revenue", "free_cash_flow")
+
+
+def question_metric_users(spark, d):
+    """Every customer's name is an alias of a metric: as many aliases as customers."""
+    key = F.get(F.array(*map(F.lit, USERS_METRICS)), F.pmod(F.col("c_custkey"), F.lit(len(USERS_METRICS))).cast("int"))
+    aliases = table(spark, d, "customer").select(F.lower("c_name").alias("phrase"), key.alias("key"))
+    return questions.annotate(asked.questions(spark, d), aliases=aliases).select("question_id", "filing_id", "question", "metric", "named")
+
+
 def question_year(spark, d):
     return _annotated(spark, d).select("question_id", "year")
 
@@ -692,7 +713,8 @@ CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "section_spans": section_spans, "section_pages": section_pages, "concept_pages": concept_pages, "anchor_pages": anchor_pages,
     "html_text": html_text, "html_sanitise": html_sanitise, "charset_decode": charset_decode, "dedup_filings": dedup_filings,
     "document_pages": document_pages, "document_passages": document_passages, "passage_ids": passage_ids,
-    "question_metric": question_metric, "question_year": question_year, "question_intent": question_intent,
+    "question_metric": question_metric, "question_metric_users": question_metric_users, "metric_users": metric_users,
+    "question_year": question_year, "question_intent": question_intent,
     "question_section": question_section, "question_flags": question_flags, "question_refusal": question_refusal,
     "question_route": question_route, "query_expansion": query_expansion,
     "bm25_idf": bm25_idf, "bm25_top10": bm25_top10, "vector_top10": vector_top10, "hashed_vector_top10": hashed_vector_top10,
