@@ -18,14 +18,14 @@ _SEED_TERMS, _SEED_ROWS = 8, 64
 
 
 def usable(rows: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """(id, terms): floor(scale * x) of each component; rows with a null id, a null vector or a null or non-finite component are left out.
+    """(id, terms, row): floor(scale * x) of each component; rows with a null vector or a null or non-finite component are left out.
 
-    Of several rows with one id the smallest vector counts.
+    Every other row takes part, also one of several with one id or without any; `row` tells them apart.
     """
     finite = ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     terms = F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
-    found = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(finite)
-    return found.select(F.col(key).alias("id"), terms.alias("terms")).groupBy("id").agg(F.min("terms").alias("terms"))
+    found = rows.where(F.col(vector).isNotNull()).where(finite)
+    return found.select(F.col(key).alias("id"), terms.alias("terms"), F.monotonically_increasing_id().alias("row"))
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -74,24 +74,26 @@ def maxscore(lists: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k:
 
 def _cell(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     if not len(rows) or not len(queries):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-    width = max(rows["terms"].map(len).max(), queries["terms"].map(len).max())
-    rows = rows.sort_values("id")
-    ids = rows["id"].to_numpy()
-    lists, asked = np.ascontiguousarray(_matrix(rows["terms"], width).T), _matrix(queries["terms"], width)
+        return pd.DataFrame({"query": [], "query_id": [], "none": [], "vec_id": [], "score": []}, dtype="int64").astype({"none": "bool"})
+    width = max(rows["terms"].map(len).max(), queries["query_terms"].map(len).max())
+    rows = rows.sort_values(["none", "id", "row"])  # a place in this order stands for a row, so that ties go by it
+    ids, none, places = rows["id"].to_numpy(), rows["none"].to_numpy(), np.arange(len(rows))
+    place_of = dict(zip(rows["row"], places))
+    lists, asked = np.ascontiguousarray(_matrix(rows["terms"], width).T), _matrix(queries["query_terms"], width)
     if width and float(np.abs(lists).max()) * float(np.abs(asked).max()) * width < 2**52:
         lists, asked = lists.astype("float64"), asked.astype("float64")  # integers below 2**53 are exact
     out = []
-    for own, query in zip(queries["id"], asked):
-        at, score = maxscore(lists, ids, query, own, k)
-        out.append(pd.DataFrame({"query_id": own, "vec_id": ids[at], "score": score.astype("int64")}))
+    for row, query_id, query in zip(queries["query"], queries["query_id"], asked):
+        at, score = maxscore(lists, places, query, place_of.get(row, -1), k)
+        out.append(pd.DataFrame({"query": row, "query_id": query_id, "none": none[at], "vec_id": ids[at], "score": score.astype("int64")}))
     return pd.concat(out, ignore_index=True)
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query its k rows with the highest inner product, its own id left out.
+    """query_id, rank, vec_id, score: for each query its k rows with the highest inner product, its own row left out.
 
-    rows and queries are (id, terms) with distinct ids. Rows are dealt to shards and queries to blocks of a bounded size
+    rows and queries are of usable(); queries have ids. Of rows with equal scores the smaller id comes first, rows without
+    an id last; each of several queries with one id has its own k. Rows are dealt to shards and queries to blocks of a bounded size
     by digest; a task takes one block and one shard. A shard gives k rows for a query at most, and the merge keeps
     the first k of each query before and after its shuffle. Shorter vectors count as padded with zeros; fewer than k
     rows give all; no rows or no queries give no rows.
@@ -99,12 +101,15 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD,
     n, asked = rows.count(), queries.count()
     shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(asked / block))
     span = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
-    left = rows.select("*", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).select("*", span(blocks).alias("block"))
-    right = queries.select("*", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")).select("*", span(shards).alias("shard"))
+    rows = rows.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("none"), "terms", "row")
+    # Own names: a cogroup loses columns of the second side that are the first side's as well.
+    queries = queries.select(F.col("id").alias("query_id"), F.col("terms").alias("query_terms"), F.col("row").alias("query"))
+    left = rows.select("*", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")).select("*", span(blocks).alias("block"))
+    right = queries.select("*", F.pmod(F.xxhash64("query", F.lit(1)), F.lit(blocks)).cast("int").alias("block")).select("*", span(shards).alias("shard"))
     cells = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block"))
-    best = cells.applyInPandas(lambda a, b: _cell(a, b, k), "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.select("query_id", place.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    best = cells.applyInPandas(lambda a, b: _cell(a, b, k), "query long, query_id long, none boolean, vec_id long, score long")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "none", "vec_id"))
+    return best.select("query_id", place.cast("int").alias("rank"), F.when(~F.col("none"), F.col("vec_id")).alias("vec_id"), "score").where(F.col("rank") <= k)
 
 
 def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,13 +118,13 @@ def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """

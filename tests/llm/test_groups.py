@@ -264,19 +264,24 @@ def test_topk_ties_and_odd_vectors(spark):
     random = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in random.integers(-3, 4, 8) / 8]) for i in range(400)]
     vectors += [(400 + i, [0.5] * 8) for i in range(150)]  # a very common vector
-    vectors += [(600, None), (601, [None] * 8), (602, [float("nan")] * 8), (603, [float("inf")] * 8), (None, [0.1] * 8), (604, []), (605, [0.5, -0.5]), (0, [9.0] * 8)]
+    vectors += [(600, None), (601, [None] * 8), (602, [float("nan")] * 8), (603, [float("inf")] * 8), (None, [2.0] * 8), (604, []), (605, [0.5, -0.5]), (0, [9.0] * 8)]
     found = topk.usable(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), "vec_id", "embedding", 64)
-    rows = {r["id"]: np.array(list(r["terms"]) + [0] * (8 - len(r["terms"]))) for r in found.collect()}
-    assert set(rows) == set(range(550)) | {604, 605}
+    rows = [(r["id"], np.array(list(r["terms"]) + [0] * (8 - len(r["terms"])))) for r in found.collect()]
+    assert Counter(x for x, _ in rows) == Counter([*range(550), 604, 605, None, 0])  # each of two rows with id 0 takes part, and one without id
     got = topk.search(found, found.where("id % 20 = 0"), 20, shard=100, block=16).collect()
     by = defaultdict(list)
-    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
-        by[r["query_id"]].append((r["vec_id"], r["score"]))
-    for q in (x for x in rows if x % 20 == 0):
-        want = sorted(((x, int(v @ rows[q])) for x, v in rows.items() if x != q), key=lambda p: (-p[1], p[0]))[:20]
-        assert by[q] == want
+    for r in got:
+        by[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    want = defaultdict(list)
+    for at, (q, query) in enumerate(rows):
+        if q is not None and q % 20 == 0:
+            best = sorted(((x, int(v @ query)) for i, (x, v) in enumerate(rows) if i != at), key=lambda p: (-p[1], p[0] is None, p[0] or 0))[:20]
+            want[q] += [(rank + 1, *p) for rank, p in enumerate(best)]
+    order = lambda found: sorted(found, key=lambda p: (p[0], p[2], p[1] is None, p[1] or 0))
+    assert by.keys() == want.keys() and all(order(by[q]) == order(want[q]) for q in want)
+    assert len(by[0]) == 40 and any(x is None for q in by.values() for _, x, _ in q)
     few = found.where("id < 5")
-    assert topk.search(few, few.where("id = 0")).count() == 4
+    assert topk.search(few, few.where("id = 4")).count() == 5
     assert topk.search(few.where("id < 0"), few.where("id < 0")).count() == 0
 
 
