@@ -7,7 +7,8 @@ import re
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import facts, passages, statements, structure, xbrl
-from ledgerlake.sources import html
+from ledgerlake.plans import batches
+from ledgerlake.sources import filings, html
 
 
 def _text(spark, markup):
@@ -199,3 +200,24 @@ def test_structure(spark):
     rows = spark.createDataFrame([("f", i + 1, p) for i, p in enumerate(pages)], "filing_id string, page int, page_text string")
     assert [tuple(r) for r in structure.page_offsets(rows).collect()] == [("f", -2)]
     assert {tuple(r) for r in structure.sections(rows).collect()} == {("f", "1", 3, 4), ("f", "7", 5, 6)}
+
+
+def test_tables_of_a_reading_are_written_when_asked_for(spark):
+    html = ('<DOCUMENT><TEXT><xbrli:context id="c"><xbrli:period><xbrli:instant>2020-12-31</xbrli:instant></xbrli:period></xbrli:context>'
+            '<p>Total assets <ix:nonFraction name="us-gaap:Assets" contextRef="c" scale="0">12</ix:nonFraction></p></TEXT></DOCUMENT>')
+    rows = spark.createDataFrame([("a", html), ("b", "<p> </p>")], "filing_id string, html string")
+    reading = batches.Reading(rows)
+    assert [r.filing_id for r in reading.pages.select("filing_id").collect()] == ["a"]
+    assert "pages" in vars(reading) and not {"passages", "tagged", "facts"} & set(vars(reading))
+    lake = batches.ingest(rows)
+    for name in ("pages", "passages", "tagged", "facts"):
+        got, want = getattr(reading, name), getattr(lake, name)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())), name
+    assert reading.facts.count() == 1
+
+
+def test_reports_are_printed_in_the_row(spark):
+    """Figures are shuffled, markup is not: nothing that an exchange sends on is a text that was built."""
+    plan = filings.filings_html(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate [filing_id"):]
+    assert plan.count("collect_list(") == 1 and "ix:nonFraction" in plan and "ix:nonFraction" not in below
