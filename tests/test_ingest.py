@@ -221,3 +221,17 @@ def test_reports_are_printed_in_the_row(spark):
     plan = filings.filings_html(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Aggregate [filing_id"):]
     assert plan.count("collect_list(") == 1 and "ix:nonFraction" in plan and "ix:nonFraction" not in below
+
+
+def test_markup_is_read_once_and_by_all_cores(spark):
+    rendered = filings.filings_html(spark, "/root/testdata/sf0.001")
+    assert rendered.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = xbrl.tagged_facts(rendered.select("filing_id", "html"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan[: plan.index("Generate")] and "array_distinct(transform(filter" not in plan
+    body = (
+        "<TABLE class=x><tr><td>a &amp; b<td> 1 </tr><TR><TH>c<br>d</TH><td></td></table><p>prose</p><table><tr><td>never closed"
+        '<SCRIPT>if (a < b) {}</ script></SCRIPT ><div class="pp" style="page-break-inside: avoid; PAGE-BREAK-before : always">two<br />lines \n</div>'
+    )
+    got = spark.createDataFrame([("f", body)], "filing_id string, html string")
+    texts = [r.page_text for r in html.pages(got).orderBy("page").collect()]
+    assert texts == ["a & b 1 \nc\ndprose\nnever closed\n\n[TABLE]\na & b | 1\nc d | ", "two\nlines"]
