@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ledgerlake.functions.text import rx
+from ledgerlake.functions.text import bind, rx
 
 # Fixed value: the axis of a geographical breakdown.
 GEOGRAPHY_AXIS = rx(r"(?:StatementGeographical|Geographic)", "i")
 
 
-def source_rank() -> Column:
-    return F.when(F.col("source") == "xbrl", 0).otherwise(1)
+def source_rank(fact: Column | None = None) -> Column:
+    """Of the row, or of a fact in an array."""
+    return F.when((F.col("source") if fact is None else fact["source"]) == "xbrl", 0).otherwise(1)
 
 
-def lookup_rank() -> Column:
+def lookup_rank(fact: Column | None = None) -> Column:
     """Tagged before statement, then document order, in one long so aggregates stay on fixed-width buffers."""
-    return source_rank().cast("bigint") * F.lit(1 << 50) + F.col("doc_pos")
+    return source_rank(fact).cast("bigint") * F.lit(1 << 50) + (F.col("doc_pos") if fact is None else fact["doc_pos"])
+
+
+def _latest_order(fact: Column | None = None) -> Column:
+    """Newest year, then a statement row before a tag, then document order: the largest one counts."""
+    year, pos = (F.col("fiscal_year"), F.col("doc_pos")) if fact is None else (fact["fiscal_year"], fact["doc_pos"])
+    return F.coalesce(year, F.lit(0)).cast("bigint") * F.lit(1 << 42) + source_rank(fact).cast("bigint") * F.lit(1 << 41) - pos
 
 
 def combine(tagged: DataFrame, statement: DataFrame) -> DataFrame:
@@ -48,11 +57,7 @@ def best_by_year(facts: DataFrame) -> DataFrame:
 
 def latest(facts: DataFrame) -> DataFrame:
     """The figure when no year is asked: newest year, and on ties a statement row before a tag."""
-    order = (
-        F.coalesce(F.col("fiscal_year"), F.lit(0)).cast("bigint") * F.lit(1 << 42)
-        + source_rank().cast("bigint") * F.lit(1 << 41)
-        - F.col("doc_pos")
-    )
+    order = _latest_order()
     return (
         consolidated(facts)
         .groupBy("filing_id", "concept_key")
@@ -80,6 +85,49 @@ def prior_year(best: DataFrame) -> DataFrame:
     return best.withColumn("prior_value", F.max("value").over(before))
 
 
+def _first_of_each(ordered: Column, *keys: str) -> Column:
+    """The first of the facts with the same keys, of an array in the order of its fields."""
+    differs = lambda f, g: reduce(Column.__or__, [~f[k].eqNullSafe(g[k]) for k in keys])
+    return bind(ordered, lambda fs: F.filter(fs, lambda f, i: (i == 0) | differs(f, F.get(fs, i - 1))))
+
+
+def _best_in_row(facts: Column) -> Column:
+    own = F.filter(facts, lambda f: (f["member"] == "") & f["fiscal_year"].isNotNull())
+    ranked = F.transform(own, lambda f: F.struct(
+        f["concept_key"].alias("concept_key"), f["fiscal_year"].alias("fiscal_year"), lookup_rank(f).alias("rank"), f["value"].alias("value"), f["page"].alias("page")))
+    return _first_of_each(F.sort_array(ranked), "concept_key", "fiscal_year")
+
+
+def best_of_gathered(filed: DataFrame) -> DataFrame:
+    """best_by_year of facts that lie with their filing: (filing_id, facts), one row per filing, which bounds the array.
+
+    Chosen in the row: facts are neither shuffled nor kept in a hash table, which would hold all of a partition's, and the rows
+    stay where their filing is, so that no later step by filing shuffles them either.
+    """
+    return filed.select("filing_id", F.inline(_best_in_row(F.col("facts"))))
+
+
+def prior_of_gathered(filed: DataFrame) -> DataFrame:
+    """prior_year of best_of_gathered(), found in the row: in order, the year before stands just before."""
+
+    def beside(best: Column) -> Column:
+        def prior(f: Column, i: Column) -> Column:
+            g = F.get(best, i - 1)
+            return F.when((g["concept_key"] == f["concept_key"]) & (g["fiscal_year"] == f["fiscal_year"] - 1), g["value"])
+
+        return F.transform(best, lambda f, i: F.struct(*[f[c].alias(c) for c in ("concept_key", "fiscal_year", "rank", "value", "page")], prior(f, i).alias("prior_value")))
+
+    return filed.select("filing_id", F.inline(bind(_best_in_row(F.col("facts")), beside)))
+
+
+def latest_of_gathered(filed: DataFrame) -> DataFrame:
+    """latest() of facts that lie with their filing, chosen in the row."""
+    own = F.filter("facts", lambda f: f["member"] == "")
+    ranked = F.transform(own, lambda f: F.struct(
+        f["concept_key"].alias("concept_key"), (-_latest_order(f)).alias("order"), f["value"].alias("value"), f["fiscal_year"].alias("fiscal_year"), f["page"].alias("page")))
+    return filed.select("filing_id", F.inline(_first_of_each(F.sort_array(ranked), "concept_key"))).drop("order")
+
+
 def filing_summary(facts: DataFrame) -> DataFrame:
     """Fact count, concepts and years of each filing, newest year first."""
     return facts.groupBy("filing_id").agg(

@@ -6,6 +6,8 @@ cents, held as DOUBLE, so a sum is exact and does not depend on the order of row
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,6 +141,25 @@ def consolidated(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def filed(spark: SparkSession, folder: str) -> DataFrame:
+    """consolidated() with a row per filing: (filing_id, facts), an array<struct> of the other columns.
+
+    The yearly sums are gathered and made facts in the row: a filing has a row per year before, and 31 facts per year after.
+    """
+    sums = yearly_sums(spark, folder)
+    gathered = sums.groupBy(F.col("filing_id").cast("string").alias("filing_id")).agg(
+        F.collect_list(F.struct("fiscal_year", *[c for c in sums.columns if c not in ("filing_id", "fiscal_year")])).alias("years"))
+    printed = []
+    for pos, (concept, cents) in enumerate(CONCEPT_CENTS.items()):
+        statement = CONCEPTS[concept][0]
+        own_cents = re.sub("[a-z]+", r"y.\g<0>", cents)
+        printed.append(
+            f"named_struct('concept_key', '{concept}', 'value', ({own_cents}) / 100, 'fiscal_year', y.fiscal_year, 'page', {PAGE_OF[statement]}, 'source', 'xbrl', "
+            f"'instant', {str(statement == 'balance_sheet').lower()}, 'member', '', 'axis', '', 'doc_pos', {pos}L)")
+    facts = F.flatten(F.expr(f"transform(years, y -> array({', '.join(printed)}))"))
+    return gathered.select("filing_id", F.filter(facts, lambda f: f["value"] != 0).alias("facts"))
+
+
 def by_member(spark: SparkSession, folder: str) -> DataFrame:
     """Tagged revenue and cost per product line and per supplier region."""
     supplier = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")

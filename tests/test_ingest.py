@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import facts, passages, statements, structure, xbrl
-from ledgerlake.plans import batches
+from ledgerlake.plans import batches, queries
 from ledgerlake.sources import filings, html
 
 
@@ -195,6 +195,28 @@ def test_combine_and_latest(spark):
     assert {(r.concept_key, r.value) for r in facts.latest(tagged.unionByName(read)).collect()} == {("revenue", 2.0), ("cogs", 3.0)}
 
 
+def test_facts_that_lie_with_their_filing(spark):
+    """The same choice as among rows, with facts of several pages, years, members and none; nothing is shuffled or counted after the facts are made."""
+    names = "concept_key value fiscal_year page source instant member axis doc_pos".split()
+    schema = "filing_id string, concept_key string, value double, fiscal_year int, page int, source string, instant boolean, member string, axis string, doc_pos long"
+    rows = [
+        (f"f{n % 7}", ("revenue", "cogs", "cash")[n % 3], float(n), None if n % 23 == 5 else 2015 + n * n % 6, n % 9, "xbrl" if n % 4 else "statement", False,
+         "m" if n % 11 == 3 else "", "", (n * 37) % 400) for n in range(400)
+    ]
+    long = spark.createDataFrame([*rows, ("g", "cash", 1.0, 2020, 1, "xbrl", True, "m", "a", 1)], schema)
+    gathered = long.groupBy("filing_id").agg(F.collect_list(F.struct(*names)).alias("facts"))
+    best = facts.best_by_year(long)
+    for got, want in (
+        (facts.best_of_gathered(gathered), best), (facts.prior_of_gathered(gathered), facts.prior_year(best)), (facts.latest_of_gathered(gathered), facts.latest(long)),
+    ):
+        assert sorted(got.columns) == sorted(want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    for name in ("facts_consolidated", "facts_latest", "facts_prior_year", "metric_direct"):
+        plan = queries.CATALOGUE[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("ObjectHashAggregate")]
+        assert "Exchange" not in above, name
+
+
 def test_structure(spark):
     pages = ["cover", "Item 1.\nItem 1A.\nItem 7.\nItem 8.", "Item 1. Business\nx 1", "text see item 7 - no\n2", "ITEM 7: MD&A\n3", "end 9999"]
     rows = spark.createDataFrame([("f", i + 1, p) for i, p in enumerate(pages)], "filing_id string, page int, page_text string")
