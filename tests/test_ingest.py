@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators import facts, passages, statements, structure, xbrl
 from ledgerlake.plans import batches, queries
-from ledgerlake.sources import filings, html
+from ledgerlake.sources import filings, html, star
 
 
 def _text(spark, markup):
@@ -257,3 +257,20 @@ def test_markup_is_read_once_and_by_all_cores(spark):
     got = spark.createDataFrame([("f", body)], "filing_id string, html string")
     texts = [r.page_text for r in html.pages(got).orderBy("page").collect()]
     assert texts == ["a & b 1 \nc\ndprose\nnever closed\n\n[TABLE]\na & b | 1\nc d | ", "two\nlines"]
+
+
+def test_sections_are_read_without_writing_page_texts(spark):
+    rendered = filings.filings_html(spark, "/root/testdata/sf0.001").select("filing_id", "html")
+    reading = batches.Reading(rendered)
+    got = structure.spans(reading.headings)
+    assert "headings" in vars(reading) and "pages" not in vars(reading)
+    assert sorted(map(str, got.collect())) == sorted(map(str, structure.sections(batches.Reading(rendered).pages).collect())) and not got.isEmpty()
+
+
+def test_figures_reach_their_filing_as_sums(spark):
+    """What is dealt to the printing tasks is a row per filing-year and member, not one per fact; the facts are those of the union."""
+    plan = filings.filings_html(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "concept_key" not in plan[plan.index("RepartitionByExpression"):] and "RepartitionByExpression" in plan
+    rows = lambda df: sorted(map(str, df.select("filing_id", "fiscal_year", "member", "concept_key", "value", "axis").collect()))
+    got = star.figures_filed(spark, "/root/testdata/sf0.001", 3).select("filing_id", F.inline("facts"))
+    assert rows(got) == rows(star.facts(spark, "/root/testdata/sf0.001", members=True))
