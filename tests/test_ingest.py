@@ -274,3 +274,12 @@ def test_figures_reach_their_filing_as_sums(spark):
     rows = lambda df: sorted(map(str, df.select("filing_id", "fiscal_year", "member", "concept_key", "value", "axis").collect()))
     got = star.figures_filed(spark, "/root/testdata/sf0.001", 3).select("filing_id", F.inline("facts"))
     assert rows(got) == rows(star.facts(spark, "/root/testdata/sf0.001", members=True))
+
+
+def test_concept_pages_need_no_page_texts_on_disk(spark):
+    rendered = filings.filings_html(spark, "/root/testdata/sf0.001").select("filing_id", "html").limit(40).localCheckpoint()
+    reading = batches.Reading(rendered)
+    got = structure.marked_concept_pages(reading.marks, xbrl.concept_pages(reading.tagged))
+    assert not {"pages", "passages"} & set(vars(reading))
+    want = structure.concept_pages(structure.page_words(reading.passages), xbrl.concept_pages(reading.tagged))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and not got.isEmpty()
